@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
 _local_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -62,10 +65,9 @@ def broadcastable(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def table(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Reader of one of the driver's tables."""
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's tables. Python workers get this package's place, as they import functions by name."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
