@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom.llm.leakage import leaks
 from tripleloom.llm.packing import pack, token_counts
 from tripleloom.llm.set_sketch import Scale, distinct_sketches, estimated, overlaps
+from tripleloom.llm.subjects import Subjects, leaf_report, subjects
 from tripleloom.llm.term_counts import TermCounts
 from tripleloom.runtime import fresh_path, read, stored
 
@@ -16,6 +17,7 @@ COMMON_SHARE = 0.08
 LATE_DAYS = 7
 CAPACITY = 8192
 LEAST_WORDS = 12
+LEAST_SHARE = 0.25
 DIMS = ["p", "feed", "s_part"]
 SCALE = Scale()
 
@@ -75,6 +77,26 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> Subjects:
+    areas = [r["area"] for r in read(spark, sf_dir, "subject_areas").select("area").collect()]
+    return subjects(read(spark, sf_dir, "documents"), read(spark, sf_dir, "area_labels"), areas)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).shares.where(F.col("share") >= LEAST_SHARE).select("doc_id", "area")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and subject-bearing sentences of each area over the whole corpus."""
+    main = F.when(F.col("share") >= LEAST_SHARE, 1)
+    return _subjects(spark, sf_dir).shares.groupBy("area").agg(F.count(main).alias("n_docs"), F.sum("n_sentences").alias("n_sentences"))
+
+
+def p9_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the clustering with their areas and words."""
+    return leaf_report(_subjects(spark, sf_dir))
+
+
 _COUNTS = " UNION ALL ".join(f"SELECT '{r}' AS term_role, {r} AS term_id, count(*) AS occurrences, count(DISTINCT s) AS records FROM triples WHERE s IS NOT NULL AND {r} IS NOT NULL GROUP BY {r}" for r in ("p", "o"))
 _MARKED = f"SELECT *, CASE WHEN records < {RARE_BELOW} THEN 'rare' WHEN records > {COMMON_SHARE} * (SELECT count(DISTINCT s) FROM triples) THEN 'common' END AS band FROM ({_COUNTS})"
 
@@ -83,4 +105,4 @@ SQL = {
     "p3_counts": _MARKED,
 }
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_counts, p6_distinct, p6_overlap, p7_containers, p8_found, p8_coverage)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_counts, p6_distinct, p6_overlap, p7_containers, p8_found, p8_coverage, p9_found, p9_composition, p9_leaves)}

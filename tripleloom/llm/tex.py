@@ -12,6 +12,8 @@ LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø"
 _BODY = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 _DEFINITION = re.compile(r"\\(?:(?:re)?newcommand\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?|def\s*\\([A-Za-z]+))\s*(?:\[\d\])?(?:\[[^\]]*\])?(?:#\d)*\s*" + _BODY)
 _COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*(?:\n[ \t]*)?")
+_LINE_COMMENT = re.compile(r"^[ \t]*%[^\n]*\n?", re.M)
+_COMMANDS = re.compile(r"\\(?:begin|documentclass|usepackage|(?:sub)*section|cite|ref|label|input|include|emph|newcommand|def)(?![A-Za-z])")
 _SKIPPED = re.compile(r"\\iffalse(?![A-Za-z]).*?(?:\\fi(?![A-Za-z])|\Z)", re.S)
 _ARGS = r"(?:\[[^\]]*\])?(?:\{[^{}]*\})?"
 _MARK = re.compile(
@@ -77,11 +79,18 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def is_markup(text: str) -> bool:
+    """Whether the text is source; in text that lost its commands, a percent sign within a line is just that."""
+    return _COMMANDS.search(text) is not None
+
+
 def visible(text: str) -> str:
     """The source without comments and disabled blocks; a comment takes its line end and the blanks after it along, as in TeX."""
     if "\\iffalse" in text:
         text = _SKIPPED.sub(" ", text)
-    return _COMMENT.sub(r"\1", text) if "%" in text else text
+    if "%" not in text:
+        return text
+    return _COMMENT.sub(r"\1", text) if is_markup(text) else _LINE_COMMENT.sub("", text)
 
 
 def hidden(text: str) -> str:
@@ -91,8 +100,11 @@ def hidden(text: str) -> str:
     if "\\iffalse" in text:
         out += [_ANY_COMMENT.sub(r"\1 ", m) for m in _SKIPPED.findall(text)]
     last = -2
+    source = is_markup(text)
     for n, line in enumerate(text.split("\n")):
         at = line.find("%")
+        if not source and line[:at].strip():
+            at = -1
         while at > 0 and line[at - 1] == "\\":
             at = line.find("%", at + 1)
         if at >= 0:
