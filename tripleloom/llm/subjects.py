@@ -8,6 +8,7 @@ in; a sentence has the subject of its clear terms, a document those with a share
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -83,6 +84,13 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, guess: str | None) -> Dat
     return stored(rows.mapInArrow(cut, schema), "tokens")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of one stays small. A piece is copied to have offsets from 0."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.take(pa.array(np.arange(i, min(i + rows, b.num_rows))))
+
+
 def terms_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Terms of a batch of tokenised rows with their row and their sentence (numbered through the batch), the row of each
     sentence and the number of sentences."""
@@ -134,9 +142,7 @@ def term_statistics(tokens: DataFrame, masks: dict, areas: list[str]) -> DataFra
 
     def count(batches):
         by_guess: dict = {None: 0, "": 0}
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             term, row, _, _, _ = terms_of(b)
             guesses, ids = b.column("guess").to_pylist(), b.column("doc_id").to_pylist()
             for g in set(guesses):
@@ -201,7 +207,7 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
         steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bits = _mix(terms[:, None] + steps[None, :])
         signs = (np.unpackbits(bits.view(np.uint8), axis=1)[:, : s.dims].astype(np.float32) * 2 - 1) * idf[:, None].astype(np.float32)
-        for b in batches:
+        for b in slices(batches):
             term, row, _, _, _ = terms_of(b)
             at, place = find(term)
             key, tf = np.unique(row[at] * len(terms) + place, return_counts=True)
@@ -209,12 +215,14 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
             rows, first = np.unique(r, return_index=True)
             if not len(rows):
                 continue
-            weighted = (1 + np.log(tf))[:, None].astype(np.float32) * signs[f]
-            v = np.add.reduceat(weighted, first, axis=0)
+            weight, stops = (1 + np.log(tf)).astype(np.float32), np.append(first, len(f))
+            v = np.empty((len(rows), s.dims), dtype=np.float32)
+            for i in range(0, len(rows), 256):
+                lo, hi = stops[i], stops[min(i + 256, len(rows))]
+                v[i : i + 256] = np.add.reduceat(weight[lo:hi, None] * signs[f[lo:hi]], first[i : i + 256] - lo, axis=0)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            offsets = np.append(first, len(f)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, s.dims, dtype=np.int32)), pa.array(v.ravel())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(f.astype(np.int32)))],
+                [b.column("doc_id").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, s.dims, dtype=np.int32)), pa.array(v.ravel())), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(f.astype(np.int32)))],
                 names=["doc_id", "vector", "features"],
             )
 
@@ -275,7 +283,7 @@ def sentence_shares(tokens: DataFrame, features: Features, weights: np.ndarray,
     def assign(batches):
         terms, w = shared.value
         find = Lookup(terms)
-        for b in batches:
+        for b in slices(batches):
             term, _, sent, row_of, n = terms_of(b)
             at, place = find(term)
             if not len(at):
