@@ -28,7 +28,7 @@ class Settings:
     iterations: int = 8
     #: A term must be in this share of the documents (5 at least). As a document has some hundred distinct terms, no more
     #: than some hundred divided by this share can be kept, however many documents there are.
-    least_share: float = 5e-4
+    least_share: float = 1e-3
     least_docs: int = 5
     #: z score and log lift from which a term is unevenly spread over the guessed subjects.
     least_z: float = 4.0
@@ -206,7 +206,7 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
         find = Lookup(terms)
         steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         bits = _mix(terms[:, None] + steps[None, :])
-        signs = (np.unpackbits(bits.view(np.uint8), axis=1)[:, : s.dims].astype(np.float32) * 2 - 1) * idf[:, None].astype(np.float32)
+        signs = (np.unpackbits(bits.view(np.uint8), axis=1)[:, : s.dims] * 2).view(np.int8) - np.int8(1)
         for b in slices(batches):
             term, row, _, _, _ = terms_of(b)
             at, place = find(term)
@@ -215,7 +215,7 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
             rows, first = np.unique(r, return_index=True)
             if not len(rows):
                 continue
-            weight, stops = (1 + np.log(tf)).astype(np.float32), np.append(first, len(f))
+            weight, stops = ((1 + np.log(tf)) * idf[f]).astype(np.float32), np.append(first, len(f))
             v = np.empty((len(rows), s.dims), dtype=np.float32)
             for i in range(0, len(rows), 256):
                 lo, hi = stops[i], stops[min(i + 256, len(rows))]
@@ -252,9 +252,11 @@ def cluster(vectors: DataFrame, features: Features, s: Settings) -> Leaves:
     sizes[leaf[f < 0]] = n[f < 0]
     terms[leaf[f >= 0], f[f >= 0]] = n[f >= 0]
     total, docs = terms.sum(axis=0), max(1.0, sizes.sum())
-    expected = sizes[:, None] * total[None, :] / docs
-    odds = np.log((terms + 0.5) / (sizes[:, None] + 1)) - np.log((total + 0.5) / (docs + 1))
-    disc = np.where((odds > 0.5) & ((terms - expected) / np.sqrt(expected + 0.5) > 2), odds * np.sqrt(terms), 0)
+    disc, usual = np.zeros_like(terms), np.log((total + 0.5) / (docs + 1))
+    for i in range(k):
+        expected = sizes[i] * total / docs
+        odds = np.log((terms[i] + 0.5) / (sizes[i] + 1)) - usual
+        disc[i] = np.where((odds > 0.5) & ((terms[i] - expected) / np.sqrt(expected + 0.5) > 2), odds * np.sqrt(terms[i]), 0)
     mixture = (disc @ features.lift) ** 2
     mixture /= np.maximum(mixture.sum(axis=1, keepdims=True), 1e-12)
     squared = mixture**2
