@@ -220,8 +220,8 @@ _NODE = "struct<kind:string,lex:string,lang:string,dt:string>"
 def read_turtle(spark: SparkSession, path: str, glob: str = "*.{ttl,n3,nt}") -> DataFrame:
     """s, p, o (structs kind, lex, lang, dt), corrupt, file_name. A piece that can't be read has nulls and the reason with its
     text in ``corrupt``. A file is read by one task, as prefixes hold to its end; blank node labels are unique to a file."""
-    files = spark.read.option("wholetext", True)
-    files = (files.option("pathGlobFilter", glob) if glob else files).text(path).select(F.col("_metadata.file_path").alias("file_name"), "value")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("kind", "lex", "lang", "dt")
