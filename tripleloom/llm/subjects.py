@@ -35,6 +35,8 @@ class Settings:
     least_lift: float = 0.7
     #: Share of a term's leaf mixture from which it is a clear sign of an area.
     clear: float = 0.55
+    #: Log score that a sentence needs: one term with 0.8 of its mixture in the area, or several that are less clear.
+    least_score: float = 1.9
     #: Hand labels: of more documents than this, those with the smallest hash of their id are used.
     max_labelled: int = 200_000
     seed: int = 7
@@ -292,7 +294,9 @@ def sentence_shares(tokens: DataFrame, features: Features, weights: np.ndarray,
                 continue
             sents = sent[at]
             score = np.stack([np.bincount(sents, weights=w[place, a], minlength=n) for a in range(n_areas)], axis=1)
-            bearing = np.flatnonzero(np.bincount(sents, minlength=n))
+            bearing = np.flatnonzero(score.max(axis=1) >= s.least_score)
+            if not len(bearing):
+                continue
             area, row = score[bearing].argmax(axis=1), row_of[bearing]
             total = np.bincount(row, minlength=b.num_rows)
             key, count = np.unique(row * n_areas + area, return_counts=True)
