@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.functions.iri import resolve
 from tripleloom.functions.xsd import RDF, XSD
 
 Node = tuple[str, str, str, str]  # kind, lex, lang, dt
@@ -132,8 +132,7 @@ class Turtle:
         """The IRI at the current token; the token isn't passed."""
         kind, value = self.token
         if kind == "iri":
-            raw = _unescape(value[1:-1])
-            return raw if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", raw) or not self.base else urljoin(self.base, raw)
+            return resolve(self.base, _unescape(value[1:-1]))
         if kind == "pname":
             prefix, _, local = value.partition(":")
             if prefix not in self.prefixes:
