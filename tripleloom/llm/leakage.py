@@ -125,7 +125,8 @@ def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
 def readings(text: str) -> Iterator[list[str]]:
     """Word streams of a document: what is visible, and what is commented out."""
     own = tex.macros(text)
-    yield tex.words(tex.plain(tex.visible(text), own))
+    seen = tex.visible(text)
+    yield tex.words(tex.plain(tex.without_definitions(seen) if own else seen, own))
     if "%" in text or "\\iffalse" in text:
         out = tex.hidden(text)
         if out.strip():

@@ -35,8 +35,8 @@ class Settings:
     least_lift: float = 0.7
     #: Share of a term's leaf mixture from which it is a clear sign of an area.
     clear: float = 0.55
-    #: Log score that a sentence needs: one term with 0.8 of its mixture in the area, or several that are less clear.
-    least_score: float = 1.9
+    #: What a sentence needs: a term with this share of its mixture in the area, or several that are less clear.
+    least_sign: float = 0.8
     #: Hand labels: of more documents than this, those with the smallest hash of their id are used.
     max_labelled: int = 200_000
     seed: int = 7
@@ -282,6 +282,7 @@ def sentence_shares(tokens: DataFrame, features: Features, weights: np.ndarray,
     clear = weights.max(axis=1) >= s.clear if len(weights) else np.zeros(0, bool)
     n_areas = weights.shape[1]
     logs = np.log((weights[clear] + 0.02) / (1 / n_areas + 0.02)).astype(np.float32)
+    least = float(np.log((s.least_sign + 0.02) / (1 / n_areas + 0.02)))
     shared = tokens.sparkSession.sparkContext.broadcast((features.terms[clear], logs))
 
     def assign(batches):
@@ -294,7 +295,7 @@ def sentence_shares(tokens: DataFrame, features: Features, weights: np.ndarray,
                 continue
             sents = sent[at]
             score = np.stack([np.bincount(sents, weights=w[place, a], minlength=n) for a in range(n_areas)], axis=1)
-            bearing = np.flatnonzero(score.max(axis=1) >= s.least_score)
+            bearing = np.flatnonzero(score.max(axis=1) >= least)
             if not len(bearing):
                 continue
             area, row = score[bearing].argmax(axis=1), row_of[bearing]

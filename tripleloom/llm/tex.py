@@ -12,14 +12,15 @@ LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø"
 _BODY = r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 _DEFINITION = re.compile(r"\\(?:(?:re)?newcommand\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?|def\s*\\([A-Za-z]+))\s*(?:\[\d\])?(?:\[[^\]]*\])?(?:#\d)*\s*" + _BODY)
 _COMMENT = re.compile(r"(?<!\\)((?:\\\\)*)%[^\n]*(?:\n[ \t]*)?")
-_LINE_COMMENT = re.compile(r"^[ \t]*%[^\n]*\n?", re.M)
-_COMMANDS = re.compile(r"\\(?:begin|documentclass|usepackage|(?:sub)*section|cite|ref|label|input|include|emph|newcommand|def)(?![A-Za-z])")
+_NO_SHARE = re.compile(r"(?<![\d\\])(?<!\d )%[^\n]*(?:\n[ \t]*)?")
+_COMMANDS = re.compile(r"\\(?:begin|iffalse|documentclass|usepackage|(?:sub)*section|cite|ref|label|input|include|emph|newcommand|def)(?![A-Za-z])")
 _SKIPPED = re.compile(r"\\iffalse(?![A-Za-z]).*?(?:\\fi(?![A-Za-z])|\Z)", re.S)
 _ARGS = r"(?:\[[^\]]*\])?(?:\{[^{}]*\})?"
 _MARK = re.compile(
     r"\\(?:(?P<accent>[\^'\"`~=.]|[cvuHkr](?=[\s{]))\s*(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z]))"
     rf"|(?P<hidden>(?:label|(?:eq|page|auto|c)?ref|[cC]ite[a-z]*|nocite|input|include|subfile|includegraphics|bibliography(?:style)?|usepackage|documentclass|bibitem|index|vspace|hspace|pagestyle|setcounter|bibliographystyle|addbibresource)\*?(?![A-Za-z])\s*{_ARGS}{_ARGS})"
     r"|(?P<env>(?:begin|end)\s*\{([^{}]*)\}(?:\[[^\]]*\])?(?P<spec>\{(?:[^{}]|\{[^{}]*\})*\})?)"
+    rf"|(?P<letter>(?:{'|'.join(sorted(LETTERS, key=len, reverse=True))})(?![A-Za-z])[ \t]*)"
     r"|(?P<word>[A-Za-z@]+)\*?"
     r"|(?P<glue>-|/)"
     r"|(?P<other>.|\n))",
@@ -36,6 +37,7 @@ def macros(text: str) -> dict[str, str]:
 
 
 def without_definitions(text: str) -> str:
+    """What a reader sees has no definitions in it."""
     return _DEFINITION.sub(" ", text)
 
 
@@ -47,10 +49,12 @@ def plain(text: str, own: dict[str, str]) -> str:
         kind = m.lastgroup
         if (a := m["accent"]) is not None:
             return unicodedata.normalize("NFC", (m[2] or m[3]) + ACCENTS[a])
-        if (w := m["word"]) is not None:
+        if (w := m["letter"]) is not None and w.rstrip() not in own:
+            return LETTERS[w.rstrip()]
+        if (w := m["word"] or (w and w.rstrip())) is not None:
             if w in own:
                 return put_all(own[w], depth + 1) + (" " if m.end() < len(m.string) and m.string[m.end()] in " \n" else "")
-            return LETTERS.get(w, " " if w in ("quad", "qquad", "par", "newline", "linebreak", "item", "and", "hline", "space", "thinspace", "enspace") else "")
+            return (" " if w in ("quad", "qquad", "par", "newline", "linebreak", "item", "and", "hline", "space", "thinspace", "enspace") else "")
         if m["glue"] is not None:
             return ""
         if m["env"] is not None:
@@ -80,7 +84,7 @@ def words(text: str) -> list[str]:
 
 
 def is_markup(text: str) -> bool:
-    """Whether the text is source; in text that lost its commands, a percent sign within a line is just that."""
+    """Whether the text is source; in text that lost its commands, a percent sign after a number is just that."""
     return _COMMANDS.search(text) is not None
 
 
@@ -90,7 +94,7 @@ def visible(text: str) -> str:
         text = _SKIPPED.sub(" ", text)
     if "%" not in text:
         return text
-    return _COMMENT.sub(r"\1", text) if is_markup(text) else _LINE_COMMENT.sub("", text)
+    return _COMMENT.sub(r"\1", text) if is_markup(text) else _NO_SHARE.sub("", text)
 
 
 def hidden(text: str) -> str:
@@ -103,9 +107,7 @@ def hidden(text: str) -> str:
     source = is_markup(text)
     for n, line in enumerate(text.split("\n")):
         at = line.find("%")
-        if not source and line[:at].strip():
-            at = -1
-        while at > 0 and line[at - 1] == "\\":
+        while at > 0 and (line[at - 1] == "\\" or not source and line[:at].rstrip(" ")[-1:].isdigit()):
             at = line.find("%", at + 1)
         if at >= 0:
             body = line[at:].lstrip("%")
