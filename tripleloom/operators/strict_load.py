@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.runtime import spread
 from tripleloom.sources.ntriples import NO_STATEMENT, parsed, reason, value_fits
 
 
@@ -27,7 +28,7 @@ def strict_load(lines: DataFrame, offset: str = "line_id", text: str = "stmt") -
     Null, blank and comment lines are no statements and in neither. Rows are told apart by offset and text together, so
     a null or repeated offset neither hides nor invents a failure; equal failing rows come as often as they are there.
     Other columns of the input are ignored, whatever their names. An empty input gives two empty results."""
-    raw = lines.select(F.col(f"`{offset}`").alias("_offset"), F.col(f"`{text}`").alias("_text")).where(~F.col("_text").rlike(NO_STATEMENT))
+    raw = spread(lines.select(F.col(f"`{offset}`").alias("_offset"), F.col(f"`{text}`").alias("_text"))).where(~F.col("_text").rlike(NO_STATEMENT))
     rows = parsed(raw, "_text", ["_offset", "_text"]).where(F.col("well_formed") & value_fits(F.col("o_lex"), F.col("o_dt")))
     valid = rows.select(F.col("_offset").alias(offset), "s_kind", "s_lex", "p_lex", "o_kind", "o_lex", "o_lang", "o_dt")
     #: Only offsets and a hash of the text are shuffled for the loaded side.

@@ -65,6 +65,15 @@ def broadcastable(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+    """Spreads a small input over all cores before costly work on each row: its files may be too few to keep them busy.
+    Larger inputs come in enough splits and aren't shuffled."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Python workers get this package's place, as they import functions by name."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.functions.xsd import LEXICAL, XSD, in_lexical_space
+from tripleloom.functions.xsd import LEXICAL, XSD
 
 UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-Fa-f]{4}"
 #: Absolute: it begins with a scheme.
@@ -23,15 +23,6 @@ _TERM = rf"(?:{IRI}|{BLANK})"
 STATEMENT = rf"^{_S}{_TERM}{_S}{IRI}{_S}(?:{_TERM}|{LITERAL}){_S}\.{_S}(?:#[^\n\r]*)?[\r\n]*\z"
 NO_STATEMENT = r"^\s*(?:#[^\n\r]*\s*)?\z"
 
-_TYPES = [n for n in LEXICAL]
-
-
-def _part(text: Column, group: int) -> Column:
-    """The group's text, null where the group took no part (an empty one can't be told from it, but for literals)."""
-    got = F.regexp_extract(text, STATEMENT, group)
-    return F.when(got != "", got)
-
-
 def unescape(text: Column) -> Column:
     """Resolves the escapes of N-Triples; texts without a backslash are left as they are."""
     short = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
@@ -52,8 +43,13 @@ def parsed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     Kinds are I, B and L; parts of lines that aren't one statement are null. A null line isn't well formed."""
     t = F.col(text)
     ok = F.coalesce(t.rlike(STATEMENT), F.lit(False))
-    g = {n: _part(t, i) for i, n in enumerate(["s_iri", "s_blank", "p", "o_iri", "o_blank", "o_text", "dt", "lang"], 1)}
-    raw = df.select(*keep, ok.alias("well_formed"), *(v.alias(f"_{n}") for n, v in g.items()))
+    # One replacement gives all groups; no part of a well-formed statement has a line end in it.
+    names = ["s_iri", "s_blank", "p", "o_iri", "o_blank", "o_text", "dt", "lang"]
+    groups = F.split(F.regexp_replace(t, STATEMENT, "\n".join(f"${i}" for i in range(1, 9))), "\n")
+    # A generator keeps filters on the parts above it; pushed below, they would match the pattern once for each mention.
+    cut = df.select(*keep, F.explode(F.array(F.struct(ok.alias("ok"), F.when(ok, groups).alias("groups")))).alias("_cut"))
+    part = {n: F.col("_cut.groups")[i] for i, n in enumerate(names)}
+    raw = cut.select(*keep, F.col("_cut.ok").alias("well_formed"), *(F.when(v != "", v).alias(f"_{n}") for n, v in part.items()))
     literal = F.col("_o_iri").isNull() & F.col("_o_blank").isNull() & F.col("well_formed")
     return raw.select(
         *keep,
@@ -68,12 +64,14 @@ def parsed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     )
 
 
+#: "<local name> <text>" of conforming values, so that one match checks any of the types.
+_FITS = "^(?:" + "|".join(f"{n} {p[1:-2]}" for n, p in LEXICAL.items()) + r")\z"
+
+
 def value_fits(lex: Column, dt: Column) -> Column:
     """False where the datatype is one of the checked XSD types and the text isn't in its lexical space; never null."""
-    fits = F.lit(True)
-    for n in _TYPES:
-        fits = F.when(dt == XSD + n, in_lexical_space(lex, n)).otherwise(fits)
-    return F.coalesce(fits, F.lit(True))
+    checked = F.coalesce(dt.isin([XSD + n for n in LEXICAL]), F.lit(False))
+    return ~checked | F.concat(F.substring(dt, len(XSD) + 1, 20), F.lit(" "), lex).rlike(_FITS)
 
 
 def reason(text: Column, lex: Column, dt: Column, well_formed: Column) -> Column:
