@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm import tex
+from tripleloom.runtime import spread
 
 _BASE = 1_000_003
 _MASK = (1 << 64) - 1
@@ -149,7 +150,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     blocks = _blocks(held)
     kind_d, kind_i = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double"
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
+    rows = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).where(F.length("text") > 0)
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)

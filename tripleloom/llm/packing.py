@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.runtime import stored
+from tripleloom.runtime import spread, stored
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the byte-level vocabulary above.
@@ -45,7 +45,7 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str = TOKENIZER) ->
             n = [0 if t is None else sum(len(enc.encode_ordinary(x)) for x in _pieces(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["key", "n_tokens"])
 
-    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(count, f"key {dict(docs.dtypes)[key]}, n_tokens long")
+    return spread(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))).mapInArrow(count, f"key {dict(docs.dtypes)[key]}, n_tokens long")
 
 
 def _pieces(text: str, at_most: int = 1 << 20) -> list[str]:

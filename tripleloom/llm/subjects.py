@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm.sentences import sentences
-from tripleloom.runtime import stored
+from tripleloom.runtime import spread, stored
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def tokenised(docs: DataFrame, doc_id: str, text: str, guess: str | None) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("guess"), pa.array(words, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(fresh, pa.list_(pa.string()))], names=["doc_id", "guess", "words", "ends", "fresh"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.lower(F.trim(F.col(f"`{guess}`"))) if guess else F.lit(None).cast("string")).alias("guess"), F.col(f"`{text}`").alias("text"))
-    return stored(rows.mapInArrow(cut, schema), "tokens")
+    return stored(spread(rows).mapInArrow(cut, schema), "tokens")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
