@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -50,6 +51,8 @@ def _clean() -> None:
             delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended, nothing more can be done
             pass
+    for own in _local_dirs.values():
+        shutil.rmtree(own.removeprefix("file://"), ignore_errors=True)
 
 
 def stored(df: DataFrame, tag: str, partition_by: Iterable[str] = ()) -> DataFrame:
