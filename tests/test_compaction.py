@@ -61,6 +61,17 @@ def test_empty_table_null_ids_and_long_bodies(spark):
     assert got == {(None, 1, 1), (4, 1, 1), (4, 2, 3_000_000)} | {(4, 1, 1)}
 
 
+def test_a_huge_file_is_several_items(spark, monkeypatch):
+    from tripleloom.operators import compaction
+
+    monkeypatch.setattr(compaction, "CHUNK_LINES", 10)
+    df = spark.createDataFrame([(1, "\n".join(f"r{i}" for i in range(95))), (2, "a\nr3\nb")], "file_id long, body string")
+    done = compact(df, capacity=60)
+    assert done.manifest.where("file_id = 1").count() == 10 and done.bins.select("bin").distinct().count() > 4
+    got = sorted((r["file_id"], r["line_no"]) for r in compacted(done, spark).collect())
+    assert got == [(1, i) for i in range(1, 96)] + [(2, 1), (2, 3)]
+
+
 def test_commit_is_not_repeated(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "file_id long, body string")
     path = f"file://{tmp_path}/out"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.runtime import delete, fresh_path, stored
 
+#: Lines of a file that are packed as one item: a huge file is several items, so no bin and no task holds it whole.
+CHUNK_LINES = 100_000
 WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 
@@ -66,22 +68,22 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(manifest: DataFrame, capacity: int, shard_files: int) -> DataFrame:
-    """file_id, n_bytes, bin. The manifest is cut into shards of about ``shard_files`` files, packed each by first-fit
+    """file_id, chunk, n_bytes, bin. The manifest is cut into shards of about ``shard_files`` items, packed each by first-fit
     decreasing in one task: no task's share grows with the table, at the cost of one bin that isn't full for each shard."""
     shards = max(1, -(-manifest.count() // shard_files))
 
     def ffd(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_bytes", "file_id"], ascending=[False, True], kind="stable")
-        return pdf.assign(bin=pdf["shard"].astype("int64") * (1 << 32) + first_fit_decreasing(pdf["n_bytes"].to_numpy(np.int64), capacity))[["file_id", "n_bytes", "bin"]]
+        pdf = pdf.sort_values(["n_bytes", "file_id", "chunk"], ascending=[False, True, True], kind="stable")
+        return pdf.assign(bin=pdf["shard"].astype("int64") * (1 << 32) + first_fit_decreasing(pdf["n_bytes"].to_numpy(np.int64), capacity))[["file_id", "chunk", "n_bytes", "bin"]]
 
-    sharded = manifest.select("file_id", "n_bytes", F.pmod(F.xxhash64("file_id"), F.lit(shards)).alias("shard"))
-    return sharded.groupBy("shard").applyInPandas(ffd, "file_id long, n_bytes long, bin long")
+    sharded = manifest.select("file_id", "chunk", "n_bytes", F.pmod(F.xxhash64("file_id", "chunk"), F.lit(shards)).alias("shard"))
+    return sharded.groupBy("shard").applyInPandas(ffd, "file_id long, chunk long, n_bytes long, bin long")
 
 
 def compact(files: DataFrame, capacity: int = 64 << 20, shard_files: int = 50_000, path: str | None = None, file_id: str = "file_id", body: str = "body") -> Compaction:
     """Consolidates the records of many small files into few files of about ``capacity`` bytes, each record once.
 
-    The manifest (file_id, n_bytes kept of it) is frozen in a table of its own before anything is packed. Each bin
+    The manifest (file_id, chunk of its lines, n_bytes kept) is frozen in a table of its own before anything is packed. Each bin
     becomes one Parquet file bin=<n>/ of file_id, line_no, record, in that order. Row count and checksum of what was
     written are compared with the source; only then one rename makes the folder visible under ``path``. Raises
     RuntimeError, with nothing committed, where they differ. An existing ``path`` isn't overwritten (FileExistsError).
@@ -89,11 +91,13 @@ def compact(files: DataFrame, capacity: int = 64 << 20, shard_files: int = 50_00
     are ignored. A null file_id is packed like any other."""
     spark = files.sparkSession
     kept = stored(first_places(records(files, file_id, body)), "records")
-    manifest = stored(kept.groupBy("file_id").agg(F.sum(F.octet_length("record") + 1).alias("n_bytes"), F.count(F.lit(1)).alias("n_records")), "manifest")
+    chunk = F.floor(F.col("line_no") / CHUNK_LINES).alias("chunk")
+    manifest = stored(kept.groupBy("file_id", chunk).agg(F.sum(F.octet_length("record") + 1).alias("n_bytes"), F.count(F.lit(1)).alias("n_records")), "manifest")
     bins = stored(pack(manifest, capacity, shard_files), "bins")
     staging = fresh_path(spark, "staging")
     final = path or fresh_path(spark, "compacted")
-    placed = kept.join(bins.select(F.col("file_id").alias("id"), "bin"), F.col("file_id").eqNullSafe(F.col("id"))).select("file_id", "line_no", "record", "bin")
+    where = bins.select(F.col("file_id").alias("id"), F.col("chunk").alias("part"), "bin")
+    placed = kept.select("*", chunk).join(where, F.col("file_id").eqNullSafe(F.col("id")) & (F.col("chunk") == F.col("part"))).select("file_id", "line_no", "record", "bin")
     placed.repartition("bin").sortWithinPartitions("bin", "file_id", "line_no").write.partitionBy("bin").parquet(staging)
     back = spark.read.schema("file_id long, line_no int, record string, bin long").parquet(staging)
     want, got = (_checks(x) for x in (kept, back))
