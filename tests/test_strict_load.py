@@ -24,6 +24,8 @@ BAD = [
     '"x" <http://a/p> <http://a/o> .',
     '<http://a/s> <http://a/p> "x .',
     '<http://a/s> <http://a/p> "x\\q" .',
+    '<http://a/s> <http://a/p> "\\uD83C" .',
+    '<http://a/s> <http://a/p> "\\U00110000" .',
     '<http://a/s> <http://a/p> "x"@en_US .',
     '<http://a/s> <http://a/p> "x"^^<integer> .',
     '<http://a/s> <http://a/p> "x"^<http://a/t> .',
@@ -50,7 +52,7 @@ def test_good_bad_and_nothing(spark):
     failed = {r["line_id"]: r["reason"] for r in got.failed.collect()}
     assert sorted(failed) == list(range(len(GOOD), len(GOOD) + len(BAD)))
     assert all(failed.values())
-    assert "lexical space of date" in failed[len(GOOD) + 13]
+    assert "lexical space of date" in failed[len(GOOD) + 15]
 
 
 def test_terms_are_unescaped(spark):

@@ -75,7 +75,8 @@ def _case(lex: str) -> str:
 _LEX = "trim(d.lex, E' \\t\\n\\r')"
 _LINES = "SELECT file_id, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, trim(unnest(string_split(body, chr(10))), E' \\t\\r\\n') AS record FROM nt_files"
 _PLACES = f"SELECT record, min({{'f': file_id, 'l': line_no}}) AS m FROM ({_LINES}) WHERE record <> '' AND record NOT LIKE '#%' GROUP BY record"
-_ESC = r"\\u[0-9A-Fa-f]{4}|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-Fa-f]{4}"
+_BMP = r"(?:[0-9A-Ca-cEFef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"
+_ESC = rf"\\u{_BMP}|\\U0000{_BMP}|\\U000[1-9A-Fa-f][0-9A-Fa-f]{{4}}|\\U0010[0-9A-Fa-f]{{4}}"
 _IRI = rf"<[A-Za-z][A-Za-z0-9+.-]*:(?:[^\x00-\x20<>\"{{}}|^`\\]|{_ESC})*>"
 _BLANK = r"_:[\p{L}0-9_:](?:[\p{L}0-9_:.-]*[\p{L}0-9_:-])?"
 _STR = rf"\"((?:[^\"\\\n\r]|\\[tbnrf\"'\\]|{_ESC})*)\"".replace("'", "''")

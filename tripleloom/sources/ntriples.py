@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.xsd import LEXICAL, XSD
 
-UCHAR = r"\\u[0-9A-Fa-f]{4}|\\U000[0-9A-Fa-f]{5}|\\U0010[0-9A-Fa-f]{4}"
+_BMP = r"(?:[0-9A-Ca-cEFef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"
+#: Escapes of characters; halves of surrogate pairs are none.
+UCHAR = rf"\\u{_BMP}|\\U0000{_BMP}|\\U000[1-9A-Fa-f][0-9A-Fa-f]{{4}}|\\U0010[0-9A-Fa-f]{{4}}"
 #: Absolute: it begins with a scheme.
 IRI = rf"<([A-Za-z][A-Za-z0-9+.-]*+:(?:[^\x00-\x20<>\"{{}}|^`\\]++|{UCHAR})*+)>"
 _CHARS_BASE = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{37D}\x{37F}-\x{1FFF}\x{200C}-\x{200D}\x{2070}-\x{218F}\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}\x{10000}-\x{EFFFF}"
