@@ -15,7 +15,7 @@ from tripleloom.plans import planner
 from tripleloom.plans.algebra import Group, Pattern, Query, TableCall, Term, Var, variables_of
 from tripleloom.plans.parser import SparqlError, parse
 from tripleloom.plans.stats import Estimates, estimates
-from tripleloom.plans.summary import candidates, prune_all
+from tripleloom.plans.summary import candidates, kept_share, prune_all
 from tripleloom.store import TripleStore
 
 
@@ -118,10 +118,10 @@ class _Run:
             df = df.select(*dict.fromkeys(keys)).distinct()
             sorts = [v for v in sorts if v in q.select]
         rows = Rows(df, [v for v in rows.variables if self.v(v) in df.columns], rows.loose, rows.terms)
-        late = self.order and q.limit is not None and not set(sorts) >= set(q.select)
+        late = q.limit is not None and not set(sorts) >= set(q.select)
         rows = self.with_terms(rows, sorts if late or form == "ids" else [*sorts, *q.select])
+        by: list[Column] = []
         if self.order:
-            by = []
             for var, up in self.order:
                 if var is None:
                     by.append(F.col("count").asc() if up else F.col("count").desc())
@@ -185,6 +185,7 @@ class _Run:
         patterns = list(dict.fromkeys(patterns))
         est = estimates(self.store, patterns)
         allowed = candidates(self.store, patterns) if self.engine.summary else {}
+        est.cards = {p: n * kept_share(p, allowed) for p, n in est.cards.items()}
         parts = []
         for component in planner.components(patterns):
             tree = planner.plan(component, est)

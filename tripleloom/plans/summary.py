@@ -3,11 +3,14 @@ partitions that a variable can still be in prune the scans of the real query bef
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.plans.algebra import Pattern, Var
-from tripleloom.runtime import broadcastable, stored
+from tripleloom.runtime import stored
 from tripleloom.store import TripleStore
 
 #: Partition sets up to this size become a list in the scan's filter; larger ones are joined with.
@@ -61,16 +64,27 @@ def label_parts(store: TripleStore, rounds: int = 5, max_share: float = 0.05) ->
     return labels.join(numbers, "label").select("id", "part")
 
 
-def candidates(store: TripleStore, patterns: list[Pattern]) -> dict[Var, DataFrame]:
-    """For variables that are a subject somewhere: the partitions (column part) that they can be in.
+@dataclass(frozen=True)
+class Allowed:
+    """Partitions that a variable can be in: a list if they are few, else a table; and their share of all partitions."""
+
+    listed: list[int] | None
+    table: DataFrame
+    share: float
+
+
+def candidates(store: TripleStore, patterns: list[Pattern]) -> dict[Var, Allowed]:
+    """For variables that are a subject somewhere: the partitions that they can be in.
 
     A literal lies in its subject's partition, so a variable that is only an object has no partition of its own: its
     occurrences aren't joined and it isn't pruned. Constants only restrict by their predicate."""
     edges = store.summary if store.summary is not None else summary_edges(store)
     subjects = {p.s for p in patterns if isinstance(p.s, Var)}
-    store.look_up({t for p in patterns for t in (p.p,) if not isinstance(t, Var)})
-    rows: DataFrame | None = None
+    if not subjects:
+        return {}
+    edges = stored(edges, "summary")
     names: dict[Var, str] = {v: f"q{i}" for i, v in enumerate(sorted(subjects, key=lambda v: v.name))}
+    rows: DataFrame | None = None
     left = list(patterns)
     bound: set[Var] = set()
     while left:
@@ -94,25 +108,41 @@ def candidates(store: TripleStore, patterns: list[Pattern]) -> dict[Var, DataFra
     if rows is None:
         return {}
     rows = stored(rows.distinct(), "candidates")
-    return {v: rows.select(F.col(names[v]).alias("part")).distinct() for v in bound}
+    total = max(1, edges.select("s_part").distinct().count())
+    return {v: _allowed(rows.select(F.col(names[v]).alias("part")).distinct(), total) for v in bound}
 
 
-def pruned(scan: DataFrame, column: str, parts: DataFrame) -> DataFrame:
+def _allowed(parts: DataFrame, total: int) -> Allowed:
+    some = [r["part"] for r in parts.limit(MAX_LISTED + 1).collect()]
+    listed = sorted(some) if len(some) <= MAX_LISTED else None
+    n = len(some) if listed is not None else parts.count()
+    return Allowed(listed, parts, min(1.0, n / total))
+
+
+def pruned(scan: DataFrame, column: str, allowed: Allowed) -> DataFrame:
     """The facts whose partition is among the candidates."""
-    own = F.coalesce(F.col(column), F.lit(UNASSIGNED))
-    if broadcastable(parts, MAX_LISTED):
-        listed = sorted(r["part"] for r in parts.collect())
-        real = [x for x in listed if x != UNASSIGNED]
+    if allowed.listed is not None:
+        real = [x for x in allowed.listed if x != UNASSIGNED]
         keep: Column = F.col(column).isin(real) if real else F.lit(False)
-        return scan.where(keep | F.col(column).isNull() if UNASSIGNED in listed else keep)
-    return scan.join(parts.withColumnRenamed("part", "_part"), own == F.col("_part"), "left_semi")
+        return scan.where(keep | F.col(column).isNull() if UNASSIGNED in allowed.listed else keep)
+    own = F.coalesce(F.col(column), F.lit(UNASSIGNED))
+    return scan.join(allowed.table.withColumnRenamed("part", "_part"), own == F.col("_part"), "left_semi")
 
 
-def prune_all(scan: DataFrame, p: Pattern, allowed: dict[Var, DataFrame]) -> DataFrame:
+def prune_all(scan: DataFrame, p: Pattern, allowed: Mapping[Var, Allowed]) -> DataFrame:
     for term, column in ((p.s, "s_part"), (p.o, "o_part")):
         if isinstance(term, Var) and term in allowed:
             scan = pruned(scan, column, allowed[term])
     return scan
 
 
-__all__ = ["summary_edges", "hash_parts", "file_parts", "label_parts", "candidates", "prune_all"]
+def kept_share(p: Pattern, allowed: Mapping[Var, Allowed]) -> float:
+    """Share of a pattern's facts that pruning is estimated to keep."""
+    out = 1.0
+    for term in dict.fromkeys((p.s, p.o)):
+        if isinstance(term, Var) and term in allowed:
+            out *= allowed[term].share
+    return out
+
+
+__all__ = ["summary_edges", "hash_parts", "file_parts", "label_parts", "candidates", "prune_all", "kept_share"]

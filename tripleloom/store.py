@@ -95,11 +95,12 @@ class TripleStore:
     # persistence
 
     def save(self, path: str, files: int | None = None) -> TripleStore:
-        """Writes two layouts of the facts, one spread and sorted by subject, one by object, both with the predicate first in
-        a file's order so that row groups can be skipped, and the dictionary by id. Returns the stored store."""
-        spread = lambda df, key: df.repartition(files, key) if files else df.repartition(key)
-        spread(self.triples, "s").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{path}/by_subject")
-        spread(self.triples, "o").sortWithinPartitions("p", "o", "s").write.mode("overwrite").parquet(f"{path}/by_object")
+        """Writes two layouts of the facts, one in ranges of subjects, one in ranges of objects, both with the predicate first
+        in a file's order so that files and row groups can be skipped, and the dictionary by id. Ranges are over the whole
+        fact, so a hot subject or object is spread over several files. Returns the stored store."""
+        spread = lambda df, *keys: df.repartitionByRange(*([files] if files else []), *keys)
+        spread(self.triples, "s", "p", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{path}/by_subject")
+        spread(self.triples, "o", "p", "s").sortWithinPartitions("p", "o", "s").write.mode("overwrite").parquet(f"{path}/by_object")
         spread(self.terms, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/terms")
         self.spark.createDataFrame([(self.identity, self.hashed)], "identity string, hashed boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         for name, df in (("predicate_stats", self.predicate_stats), ("join_stats", self.join_stats), ("summary", self.summary)):
