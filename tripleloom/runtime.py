@@ -68,11 +68,12 @@ def broadcastable(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def spread(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+def spread(df: DataFrame, small_bytes: int = 12 << 20) -> DataFrame:
     """Spreads a small input over all cores before costly work on each row: its files may be too few to keep them busy.
-    Larger inputs come in enough splits and aren't shuffled."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > small_bytes:
+    Larger inputs, by the whole size of what is read, come in enough splits and aren't shuffled."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > small_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
