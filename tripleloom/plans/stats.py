@@ -75,6 +75,8 @@ class Estimates:
             back = self.pairs.get((pb, pa), (0.0, 0.0, 0.0))[0]
             rows = {(True, True): star1, (False, False): star2, (False, True): path, (True, False): back}[a.s == v, b.s == v]
             return max(rows, 1.0) / max(1.0, self.totals[pa][0] * self.totals[pb][0])
+        if v in (a.p, b.p):
+            return 0.05  # predicates are few
         return 1.0 / max(10.0, min(self.card(a), self.card(b)))
 
 
