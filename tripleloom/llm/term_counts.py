@@ -1,17 +1,18 @@
 """Frequency of every distinct term, kept up to date by signed deltas.
 
 State under one folder, all of it in runs of signed changes that are only ever added to:
-pairs/run=<k>   role, term, record, delta      (spread by term and record, so a hot term is in many files)
-terms/run=<k>   role, term, occurrences, records (changes)
-records/run=<k> record, delta
-A change set is first aggregated to pairs; the pairs' earlier counts tell which records a term gains or loses."""
+pairs/run=<k>/bucket=<b>   role, term, record, delta (buckets by role, term and record, so a hot term is in all of them)
+terms/run=<k>/bucket=<b>   role, term, occurrences, records (changes; buckets by role and term)
+records/run=<k>/bucket=<b> record, delta
+A change set is first aggregated to pairs; the pairs' earlier counts, read from the touched buckets only, tell which records
+a term gains or loses."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.runtime import delete
@@ -22,19 +23,30 @@ class TermCounts:
 
     Null terms and rows with a null record are left out. A row that comes twice occurs twice. Roles are counted apart."""
 
-    def __init__(self, spark: SparkSession, path: str, roles: Mapping[str, str], record: str, term_type: str = "long", record_type: str = "long"):
-        self.spark, self.path, self.roles, self.record = spark, path, dict(roles), record
-        self.schemas = {"pairs": f"role string, term {term_type}, record {record_type}, delta long, run int", "terms": f"role string, term {term_type}, occurrences long, records long, run int", "records": f"record {record_type}, delta long, run int"}
+    def __init__(self, spark: SparkSession, path: str, roles: Mapping[str, str], record: str, term_type: str = "long", record_type: str = "long", buckets: int = 16):
+        self.spark, self.path, self.roles, self.record, self.buckets = spark, path, dict(roles), record, buckets
+        self.schemas = {"pairs": f"role string, term {term_type}, record {record_type}, delta long, bucket int", "terms": f"role string, term {term_type}, occurrences long, records long, bucket int", "records": f"record {record_type}, delta long, bucket int"}
+        self.keys = {"pairs": ["role", "term", "record"], "terms": ["role", "term"], "records": ["record"]}
         self.runs = 0
 
     def _state(self, name: str) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*(f"{self.path}/{name}/run={i}" for i in range(self.runs)))
-
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={self.runs}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/run={self.runs}")
+        runs = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.path}/{name}/run={i}") for i in range(self.runs)]
+        return reduce(DataFrame.unionByName, runs)
+
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(*self.keys[name]), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write(self, rows: DataFrame, name: str, sums: dict[str, Column], keep: str) -> DataFrame:
+        """Sums rows by the keys and writes a run. The rows come summed already (which combines a hot key's rows where
+        they are); they are placed by bucket, so that a bucket is one file."""
+        keys = self.keys[name]
+        placed = rows.select("*", self._bucket(name)).repartition(self.buckets, "bucket")
+        path = f"{self.path}/{name}/run={self.runs}"
+        placed.groupBy("bucket", *keys).agg(*(c.alias(n) for n, c in sums.items())).where(keep).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        extra = "" if name != "terms" or "least" not in sums else ", least long"
+        return self.spark.read.schema(self.schemas[name].replace(", bucket int", f"{extra}, bucket int")).parquet(path)
 
     def update(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """Merges a change set; a changed row is removed as it was and added as it is. A failed update leaves the counts
@@ -45,18 +57,22 @@ class TermCounts:
         cols = {**{f"_{r}": c for r, c in self.roles.items()}, "_record": self.record}
         rows = reduce(DataFrame.union, (df.select(*(F.col(f"`{c}`").alias(a) for a, c in cols.items())).withColumn("_sign", F.lit(s)) for df, s in sets)).where(F.col("_record").isNotNull())
         role = F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"_{r}").alias("term")) for r in self.roles))).alias("t")
-        deltas = rows.select(role, F.col("_record").alias("record"), "_sign").where(F.col("t.term").isNotNull()).groupBy("t.role", "t.term", "record").agg(F.sum("_sign").alias("delta"))
-        deltas = self._write(deltas.where("delta <> 0"), "pairs")
-        self._write(rows.groupBy(F.col("_record").alias("record")).agg(F.sum("_sign").alias("delta")).where("delta <> 0"), "records")
-        change = F.col("delta")
+        pairs = rows.select(role, F.col("_record").alias("record"), "_sign").where(F.col("t.term").isNotNull()).groupBy("t.role", "t.term", "record").agg(F.sum("_sign").alias("_sign"))
+        deltas = self._write(pairs, "pairs", {"delta": F.sum("_sign")}, "delta <> 0")
+        by_record = rows.groupBy(F.col("_record").alias("record")).agg(F.sum("_sign").alias("_sign"))
+        self._write(by_record, "records", {"delta": F.sum("_sign")}, "delta <> 0")
+        held = F.lit(0).cast("long")
         if self.runs:
-            keys = ["role", "term", "record"]
-            before = self._state("pairs").withColumnRenamed("delta", "held").join(deltas.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("held").alias("held"))
-            deltas = deltas.join(before, keys, "left").select("role", "term", "delta", F.coalesce("held", F.lit(0)).alias("held"))
-        else:
-            deltas = deltas.select("role", "term", "delta", F.lit(0).alias("held"))
-        gained = (F.col("held") + change > 0).cast("int") - (F.col("held") > 0).cast("int")
-        terms = self._write(deltas.groupBy("role", "term").agg(F.sum(change).alias("occurrences"), F.sum(gained).cast("long").alias("records"), F.min(F.col("held") + change).alias("least")), "terms")
+            keys = ["bucket", *self.keys["pairs"]]
+            touched = [r[0] for r in deltas.select("bucket").distinct().collect()]
+            before = self._state("pairs").where(F.col("bucket").isin(touched)).withColumnRenamed("delta", "held")
+            before = before.join(deltas.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("held").alias("held"))
+            deltas, held = deltas.join(before, keys, "left"), F.coalesce("held", held)
+        deltas = deltas.select("role", "term", "delta", held.alias("held"))
+        after = F.col("held") + F.col("delta")
+        gained = (after > 0).cast("long") - (F.col("held") > 0).cast("long")
+        by_term = deltas.groupBy("role", "term").agg(F.sum("delta").alias("o"), F.sum(gained).alias("r"), F.min(after).alias("l"))
+        terms = self._write(by_term, "terms", {"occurrences": F.sum("o"), "records": F.sum("r"), "least": F.min("l")}, "true")
         if removed is not None and terms.where("least < 0").limit(1).count():
             raise ValueError("more is removed than there is")
         self.runs += 1
@@ -79,9 +95,8 @@ class TermCounts:
 
     def merge_runs(self) -> None:
         """Replaces all runs by one, once there are many."""
-        for name, keys, sums in (("pairs", ["role", "term", "record"], ["delta"]), ("terms", ["role", "term"], ["occurrences", "records"]), ("records", ["record"], ["delta"])):
-            whole = self._state(name).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums)).where(" OR ".join(f"{c} <> 0" for c in sums))
-            whole.write.mode("overwrite").parquet(f"{self.path}/{name}/run={self.runs}")
+        for name, sums in (("pairs", ["delta"]), ("terms", ["occurrences", "records"]), ("records", ["delta"])):
+            self._write(self._state(name).drop("bucket"), name, {c: F.sum(c) for c in sums}, " OR ".join(f"{c} <> 0" for c in sums))
         for name in self.schemas:
             for i in range(self.runs):
                 delete(self.spark, f"{self.path}/{name}/run={i}")
