@@ -219,6 +219,7 @@ def test_planner_starts_with_the_selective_pattern(spark):
     last = tree.left if len(tree.left.patterns()) > 1 else tree.right
     assert any(p.p.lex == "h:few" for p in last.patterns())
     assert "scan ?s <h:few> ?z" in Engine(s).explain("explain SELECT ?s WHERE { ?s <h:many> ?o . ?o <h:mid> ?m . ?s <h:few> ?z }")
+    assert "join" in Engine(s).query("EXPLAIN SELECT ?s WHERE { ?s <h:many> ?o . ?o <h:mid> ?m }").first()["plan"]
     assert len(components(parse("SELECT * WHERE { ?a <h:p> ?b . ?c <h:p> ?d . ?b <h:p> ?e }").where.patterns)) == 2
 
 

@@ -13,7 +13,8 @@ from tripleloom.runtime import delete, fresh_path, stored
 
 #: Lines of a file that are packed as one item: a huge file is several items, so no bin and no task holds it whole.
 CHUNK_LINES = 100_000
-WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+#: Every white space character.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @dataclass(frozen=True)

@@ -61,10 +61,13 @@ class Engine:
 
         result: lex (texts), terms (structs kind, lex, lang, dt) or ids (no dictionary access unless a filter or an order
         needs it). COUNT and DUPLICATES add the column count. Names that differ only in case get a number, as Spark's
-        don't. SparqlError for texts that are no query."""
+        don't. A query that begins with EXPLAIN gives the lines of its plan. SparqlError for texts that are no query."""
         if result not in ("lex", "terms", "ids"):
             raise ValueError(f"unknown result {result}")
-        return _Run(self, parse(text)).result(result)
+        query = parse(text)
+        if query.explain:
+            return self.store.spark.createDataFrame([(line,) for line in self.explain(text).split("\n")], "plan string")
+        return _Run(self, query).result(result)
 
     def explain(self, text: str) -> str:
         """The join order of each group of patterns with estimated rows, and Spark's plan."""
