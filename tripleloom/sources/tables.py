@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions.xsd import RDF, XSD
-from tripleloom.runtime import read
+from tripleloom.runtime import read, spread
 
 BASE = "http://ex.org/"
 VOCABULARY = BASE + "v#"
@@ -68,7 +68,7 @@ def table_statements(df: DataFrame, m: Mapping) -> DataFrame:
         lang = F.coalesce(F.lower(F.col(m.lang[name])), F.lit("")) if m.lang and name in m.lang else None
         o = _node("I", F.concat(F.lit(f"{BASE}{target}/"), lex)) if target else _node("L", lex, lang, dt)
         pairs.append(F.struct(_node("I", F.lit(VOCABULARY + name)).alias("p"), o.alias("o")))
-    rows = df.select(subject.alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o")
+    rows = spread(df).select(subject.alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o")
     return rows.where("s.lex IS NOT NULL AND o.lex IS NOT NULL")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.functions.terms import TERM_FIELDS, term_id
+from tripleloom.functions.xsd import XSD
 from tripleloom.plans.algebra import Term
 from tripleloom.runtime import stored
 
@@ -43,9 +44,19 @@ class TripleStore:
         ident = {c: term_id(*(F.col(f"{c}.{f}") for f in TERM_FIELDS), identity) for c in "spo"}
         none = F.lit(None).cast("int")
         triples = whole.select(*(ident[c].alias(c) for c in "spo")).distinct().select("s", "p", "o", none.alias("s_part"), none.alias("o_part"))
-        each = whole.select(F.explode(F.array(*(F.struct(ident[c].alias("id"), *(F.col(f"{c}.{f}").cast("string").alias(f) for f in TERM_FIELDS)) for c in "spo"))).alias("t")).select("t.*")
-        empty = {f: F.when(F.col(f) == "", F.lit(None)).otherwise(F.col(f)).alias(f) for f in ("lang", "dt")}
-        terms = each.groupBy("id").agg(F.min(F.struct("kind", "lex", "lang", "dt")).alias("t")).select("id", "t.*").select("id", "kind", "lex", empty["lang"], empty["dt"])
+        # Terms with the same id have the same parts once tags are in lower case and xsd:string is left out.
+        empty = lambda c: F.when(c != "", c)
+        part = {
+            "kind": lambda c: F.col(f"{c}.kind"),
+            "lex": lambda c: F.col(f"{c}.lex"),
+            "lang": lambda c: empty(F.lower(F.col(f"{c}.lang").cast("string"))),
+            "dt": lambda c: F.when(F.col(f"{c}.dt") != XSD + "string", empty(F.col(f"{c}.dt").cast("string"))),
+        }
+        each = whole.select(F.explode(F.array(*(F.struct(ident[c].alias("id"), *(part[f](c).alias(f) for f in TERM_FIELDS)) for c in "spo"))).alias("t")).select("t.*")
+        if identity == "rdf":
+            terms = each.distinct()  # unlike a minimum over texts, a hash aggregation without a sort
+        else:
+            terms = each.groupBy("id").agg(F.min(F.struct(*TERM_FIELDS)).alias("t")).select("id", "t.*")
         return TripleStore(triples, terms, identity)
 
     @staticmethod
