@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tripleloom.llm.subjects import Lookup, Settings, leaf_report, subjects, terms_of, tokenised
+from tripleloom.llm.subjects import Lookup, Settings, choose_features, leaf_report, subjects, terms_of, tokenised
 
 AREAS = ["biology", "law", "sport"]
 NOUNS = {"biology": ["larva", "gene", "habitat", "enzyme", "plasmid", "seedling"], "law": ["tribunal", "statute", "plaintiff", "deed", "appeal", "clause"], "sport": ["sprint", "coach", "referee", "midfield", "marathon", "goalkeeper"]}
@@ -90,3 +90,9 @@ def test_lookup():
     at, place = Lookup(known)(asked)
     assert (known[place] == asked[at]).all() and len(at) == np.isin(asked, known).sum()
     assert len(Lookup(known[:0])(asked)[0]) == 0
+
+
+def test_terms_of_less_than_a_thousandth_of_the_documents_count(spark):
+    statistics = spark.createDataFrame([(1, 15, 15, 15, 0), (2, 9, 9, 9, 0), (3, 15, 15, 1, 14)], "term long, df long, labelled long, n0 long, n1 long")
+    got = choose_features(statistics, 20_000, 20_000, np.array([2_000, 18_000]), Settings())
+    assert got.terms.tolist() == [1]
