@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from tripleloom.llm import queries
 from tripleloom.llm.set_sketch import Scale, cardinality, distinct_sketches, estimated, joint, levels, merged, overlaps, registers_of
 
 RNG = np.random.default_rng(5)
@@ -100,3 +101,20 @@ def test_empty_ties_and_overlap(spark):
     sk = distinct_sketches(df, "s", "day", ["p"], combos=[("p",)]).select("day", F.struct("hashes", "registers").alias("k"))
     pairs = sk.where("day = 0").select(F.lit(1).alias("x"), F.col("k").alias("a")).join(sk.where("day = 1").select(F.lit(1).alias("x"), F.col("k").alias("b")), "x")
     assert tuple(overlaps(pairs, "a", "b").first()) == (1, 15.0, 6.0, 20.0, 1.0, 0.05, 0.0)
+
+
+def test_every_combination_with_and_without_the_day(spark, monkeypatch):
+    rows = [r | {"s_part": i % 3 or None} for i, r in enumerate(random_rows(3000))]
+    df = spark.createDataFrame([(r["s"], r["day"], r["p"], r["feed"], r["s_part"]) for r in rows], "s long, day int, p int, feed string, s_part int")
+    monkeypatch.setattr(queries, "read", lambda *_: df.selectExpr("s", "timestamp_seconds(day * 86400L + 7) AS stated_at", "p", "feed", "s_part"))
+    got = queries.p6_distinct(spark, "").selectExpr("dimensions", "datediff(day, DATE '1970-01-01') AS day", "p", "feed", "s_part", "n_distinct").collect()
+    names = ["day", "p", "feed", "s_part"]
+    sets = {}
+    for combo in levels(names):
+        for r in rows:
+            if r["s"] is not None:
+                sets.setdefault(("+".join(combo), *(r[d] if d in combo else None for d in names)), set()).add(r["s"])
+    assert len(got) == len(sets) and {tuple(r)[:5] for r in got} == set(sets) and len({k[0] for k in sets}) == 16
+    for r in got:
+        n = len(sets[tuple(r)[:5]])
+        assert r["n_distinct"] == n if n <= queries.SCALE.sparse else abs(r["n_distinct"] / n - 1) < 5 * queries.SCALE.rsd

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm.leakage import leaks
 from tripleloom.llm.packing import pack, token_counts
-from tripleloom.llm.set_sketch import Scale, distinct_sketches, estimated, overlaps
+from tripleloom.llm.set_sketch import Scale, distinct_sketches, estimated, overlaps, rolled_up
 from tripleloom.llm.subjects import Subjects, leaf_report, subjects
 from tripleloom.llm.term_counts import TermCounts
 from tripleloom.runtime import fresh_path, read, stored
@@ -50,8 +50,8 @@ def _sketches(spark: SparkSession, sf_dir: str, combos=None) -> DataFrame:
 
 
 def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct subjects per day, alone and with each combination of predicate, feed and graph partition."""
-    return estimated(_sketches(spark, sf_dir), SCALE)
+    """Distinct subjects for each combination of day, predicate, feed and graph partition, the grand total included."""
+    return estimated(rolled_up(_sketches(spark, sf_dir), "day", DIMS, SCALE), SCALE)
 
 
 def p6_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

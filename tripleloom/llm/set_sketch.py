@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.runtime import fresh_path
+from tripleloom.runtime import fresh_path, stored
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -213,7 +213,7 @@ def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str
 def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), bucket_rows: int = 20_000) -> DataFrame:
     """One sketch for each group of equal ``keys`` (null equals null): registers by maximum, lists of hashes as sets.
 
-    Groups are merged in buckets by hash of their keys of about ``bucket_rows`` groups, of which a task takes one at a time;
+    Groups are merged in buckets by hash of their keys of about ``bucket_rows`` parts, of which a task takes one at a time;
     equal groups of a bucket are first folded within each of the parts' partitions, so many parts of one group don't meet
     in one task. No rows give no rows."""
     kinds = dict(parts.dtypes)
@@ -259,12 +259,23 @@ def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), bucket
             if b.num_rows:
                 yield from merge(pa.Table.from_batches([b])).to_batches()
 
-    parts = parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema)
     buckets = max(1, -(-parts.count() // bucket_rows))
+    parts = parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema)
     hashed = F.pmod(F.xxhash64(*(F.col(f"`{k}`").isNull() for k in keys), *(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).alias("_bucket")
     return parts.select("*", hashed).groupBy("_bucket").applyInArrow(lambda t: merge(t.drop_columns(["_bucket"])), schema)
 
 
+def rolled_up(sketches: DataFrame, lead: str, dims: Sequence[str], scale: Scale = Scale()) -> DataFrame:
+    """The sketches of each value of ``lead`` and, merged from them, those over all of its values (null ones too).
+
+    ``dimensions`` begins with the lead's name where it is grouped by; elsewhere the lead is null and, without dims, the names
+    are empty: the grand total. No rows give no rows."""
+    own = stored(sketches, "sketches")
+    over = merged(own, ["dimensions", *dims], scale).withColumn(lead, F.lit(None).cast(dict(own.dtypes)[lead]))
+    named = F.concat_ws("+", F.lit(lead), F.when(F.col("dimensions") != "", F.col("dimensions")))
+    return own.withColumn("dimensions", named).unionByName(over)
+
+
 def estimated(sketches: DataFrame, scale: Scale = Scale(), z: float = 1.96) -> DataFrame:
     """Replaces the sketch by n_distinct, low and high: the bound of z standard errors (95 % for 1.96); exact sets have all
     three equal."""
