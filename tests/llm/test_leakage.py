@@ -88,3 +88,10 @@ def test_items_in_blocks(spark, monkeypatch):
 def test_items_are_read_like_documents():
     block = Items([(1, "St\u00e9an\u0301 A-B 5")], 2)
     assert list(block.vocabulary) == tex.words("stéań a b 5")
+
+
+def test_passages_cut_by_comments_into_short_runs():
+    block = Items([(5, ITEM)], 6)
+    pieces = [" ".join(W[i : i + 4]) for i in (0, 4, 8)]
+    assert [r[:2] for r in compare("seen\n{}\n% {}\n{}\nseen".format(*pieces), block, 6)] == [(5, 12)]
+    assert [r[:2] for r in compare("seen {}\n\\iffalse {} \\fi\n{} seen".format(*pieces), block, 6)] == [(5, 12)]

@@ -124,7 +124,7 @@ def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, in
 
 
 def readings(text: str) -> Iterator[list[str]]:
-    """Word streams of a document: what is visible, and what is commented out."""
+    """Word streams of a document: what is visible, what is commented out, and with it everything in its place."""
     own = tex.macros(text)
     seen = tex.visible(text)
     yield tex.words(tex.plain(tex.without_definitions(seen) if own else seen, own))
@@ -132,6 +132,7 @@ def readings(text: str) -> Iterator[list[str]]:
         out = tex.hidden(text)
         if out.strip():
             yield tex.words(tex.plain(out, own))
+        yield mixed(text)
 
 
 def mixed(text: str) -> list[str]:
@@ -190,14 +191,8 @@ def _search(shared, seed: int, least: int) -> Callable:
 def compare(text: str, block: Items, least: int) -> list[tuple[int, int, int, int, float]]:
     """item, longest, covered, words, coverage of one document, the best of its readings for each item."""
     best: dict[int, tuple[int, int]] = {}
-    found = False
     for stream in readings(text):
         ids, places = block.seeds(stream)
-        if len(places):
-            found = True
-            _best(best, block, ids, places, least)
-    if found and ("%" in text or "\\iffalse" in text):
-        ids, places = block.seeds(mixed(text))
         _best(best, block, ids, places, least)
     return [(i, n, c, len(block.words[i]), c / len(block.words[i])) for i, (n, c) in best.items()]
 
