@@ -95,3 +95,11 @@ def test_passages_cut_by_comments_into_short_runs():
     pieces = [" ".join(W[i : i + 4]) for i in (0, 4, 8)]
     assert [r[:2] for r in compare("seen\n{}\n% {}\n{}\nseen".format(*pieces), block, 6)] == [(5, 12)]
     assert [r[:2] for r in compare("seen {}\n\\iffalse {} \\fi\n{} seen".format(*pieces), block, 6)] == [(5, 12)]
+
+
+def test_items_that_share_an_id_are_all_searched(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(n)) for x, n in (("a", 13), ("b", 14), ("c", 15)))
+    items = [(1, a), (1, b), (1, b), (None, c), (None, a)]
+    got = leaks(spark.createDataFrame([(7, a), (8, b), (9, c)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = [(r["doc_id"], r["item_id"], r["longest"]) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(7, 1, 13), (7, None, 13), (8, 1, 14), (9, None, 15)], key=str)

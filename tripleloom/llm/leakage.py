@@ -39,16 +39,17 @@ def fingerprints(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Items:
-    """The items of a block: their words as numbers and where each fingerprint of ``seed`` words is."""
+    """The items of a block, by their place in it: their words as numbers and where each fingerprint of ``seed`` words is."""
 
     def __init__(self, rows: list[tuple[int, str]], seed: int):
         self.seed = seed
         self.vocabulary: dict[str, int] = {}
-        self.words: dict[int, list[int]] = {}
+        self.ids = [i for i, _ in rows]
+        self.words: list[list[int]] = []
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in rows:
+        for item, (_, text) in enumerate(rows):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tex.words(tex.plain(text or "", {}))]
-            self.words[item] = ids
+            self.words.append(ids)
             for i, h in enumerate(fingerprints(np.array(ids, dtype=np.int64), seed).tolist()):
                 self.at[h].append((item, i))
         self.keys = np.array(sorted(self.at), dtype=np.uint64)
@@ -145,9 +146,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     n_words (of the item), coverage: one row for each document and item that share a tile.
 
     Null and empty texts share nothing; null ids are kept as ids. Repeated documents give repeated rows; items with the same
-    id count as one item only if their texts are equal, else the last in text order holds. Other columns are ignored."""
+    id and text count as one, those with the same id and other texts have a row each. Other columns are ignored."""
     spark = docs.sparkSession
-    held = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL")
+    held = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL").distinct()
     blocks = _blocks(held)
     kind_d, kind_i = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double"
@@ -194,7 +195,7 @@ def compare(text: str, block: Items, least: int) -> list[tuple[int, int, int, in
     for stream in readings(text):
         ids, places = block.seeds(stream)
         _best(best, block, ids, places, least)
-    return [(i, n, c, len(block.words[i]), c / len(block.words[i])) for i, (n, c) in best.items()]
+    return [(block.ids[i], n, c, len(block.words[i]), c / len(block.words[i])) for i, (n, c) in best.items()]
 
 
 def _best(best: dict[int, tuple[int, int]], block: Items, ids: np.ndarray, places: np.ndarray, least: int) -> None:
