@@ -44,3 +44,8 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["cname", "nname"]
+
+
+def test_table_function_meets_parts_of_every_size(spark):
+    sizes = spark.read.parquet(f"{SF}/part.parquet").where("p_size >= 1")
+    assert entry.queries()["table_function_all"](spark, SF).count() == sizes.selectExpr("sum(p_size)").first()[0]
