@@ -174,6 +174,17 @@ def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(TripleStore.from_terms(statements(read_ntriples(spark, f"{path}/facts.nt", ""))))
 
 
+def ntriples_graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All encoded facts with their texts, tags and datatypes, written as N-Triples and read again."""
+    path = fresh_path(spark, "nt")
+    write_ntriples(graph(spark, sf_dir), f"{path}/facts.nt")
+    from tripleloom.sources.files import statements
+    from tripleloom.sources.ntriples import read_ntriples
+
+    nodes = statements(read_ntriples(spark, f"{path}/facts.nt", ""))
+    return nodes.select(F.col("s.kind").alias("kind"), F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.kind").alias("o_kind"), F.col("o.lex").alias("o"), F.col("o.lang").alias("lang"), F.col("o.dt").alias("dt"))
+
+
 def turtle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations and regions written as Turtle with prefixes, lists and nested nodes, and read again."""
     path = fresh_path(spark, "ttl")
@@ -240,3 +251,5 @@ QUERIES["table_function"] = table_function
 SQL["table_function"] = "SELECT 'http://ex.org/part/' || p_partkey AS p, unnest(generate_series(1, CAST(p_size AS BIGINT))) AS i FROM part WHERE p_size < 6"
 QUERIES["table_function_all"] = table_function_all
 SQL["table_function_all"] = "SELECT 'http://ex.org/part/' || p_partkey AS p, unnest(generate_series(1, CAST(p_size AS BIGINT))) AS i FROM part"
+QUERIES["ntriples_graph_roundtrip"] = ntriples_graph_roundtrip
+SQL["ntriples_graph_roundtrip"] = _T + "SELECT a.kind AS kind, a.lex AS s, b.lex AS p, c.kind AS o_kind, c.lex AS o, c.lang AS lang, c.dt AS dt FROM t JOIN d a ON a.id = t.s JOIN d b ON b.id = t.p JOIN d c ON c.id = t.o"
