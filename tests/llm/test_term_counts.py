@@ -26,7 +26,7 @@ def held(c):
 
 
 def counts(spark):
-    return TermCounts(spark, fresh_path(spark, "terms"), {"p": "p", "o": "o"}, "s")
+    return TermCounts(spark, fresh_path(spark, "terms"), {"p": "p", "o": "o"}, "s", least_buckets=2)
 
 
 def test_changes_equal_counting_anew(spark):
@@ -65,3 +65,70 @@ def test_bands_ties_and_empty(spark):
     c.update(added=frame(spark, [(i, 1, 10 + (i >= 2) + (i >= 5)) for i in range(10)] * 2))
     got = {(r["role"], r["term"]): (r["occurrences"], r["records"], r["band"]) for r in c.marked(3, 0.5).collect()}
     assert got == {("p", 1): (20, 10, "common"), ("o", 10): (4, 2, "rare"), ("o", 11): (6, 3, None), ("o", 12): (10, 5, None)}
+
+
+def test_state_is_taken_up_by_a_new_object(spark):
+    path = fresh_path(spark, "terms")
+    make = lambda: TermCounts(spark, path, {"p": "p", "o": "o"}, "s")
+    rows = [(i % 7, i % 3, i % 11) for i in range(90)]
+    make().update(added=frame(spark, rows))
+    assert held(make()) == brute(rows)
+    make().update(added=frame(spark, [(1, 2, 3)]), removed=frame(spark, rows[:20]))
+    make().update(removed=frame(spark, [(1, 2, 3), *rows[20:40]]))
+    last = make()
+    assert held(last) == brute(rows[40:]) and last.version == 3 and len(last.runs) == 3
+    last.merge_runs()
+    assert held(make()) == brute(rows[40:]) and len(make().runs) == 1
+    with pytest.raises(ValueError):
+        TermCounts(spark, path, {"p": "p"}, "s")
+
+
+@pytest.mark.parametrize("fails_at", ["pairs", "terms", "records", "commit"])
+def test_merge_that_ends_midway_changes_nothing(spark, monkeypatch, fails_at):
+    c = counts(spark)
+    rows = [(i % 7, i % 3, i % 11) for i in range(60)]
+    c.update(added=frame(spark, rows))
+    c.update(removed=frame(spark, rows[:10]))
+    write, commit = TermCounts._write, TermCounts._commit
+
+    def failing(self, rows, name, *rest):
+        if name == fails_at:
+            raise OSError(name)
+        return write(self, rows, name, *rest)
+
+    def no_commit(self, *a):
+        raise OSError("commit")
+
+    monkeypatch.setattr(TermCounts, "_write", failing)
+    if fails_at == "commit":
+        monkeypatch.setattr(TermCounts, "_commit", no_commit)
+    with pytest.raises(OSError):
+        c.merge_runs()
+    monkeypatch.setattr(TermCounts, "_write", write)
+    monkeypatch.setattr(TermCounts, "_commit", commit)
+    again = TermCounts(spark, c.path, {"p": "p", "o": "o"}, "s")
+    for x in (c, again):
+        assert held(x) == brute(rows[10:]) and len(x.runs) == 2
+    again.merge_runs()
+    assert held(again) == brute(rows[10:]) and len(again.runs) == 1
+
+
+def test_second_writer_is_refused(spark):
+    a = counts(spark)
+    b = TermCounts(spark, a.path, {"p": "p", "o": "o"}, "s")
+    a.update(added=frame(spark, [(1, 2, 3)]))
+    with pytest.raises(FileExistsError):
+        b.update(added=frame(spark, [(4, 5, 6)]))
+    assert held(TermCounts(spark, a.path, {"p": "p", "o": "o"}, "s")) == brute([(1, 2, 3)])
+
+
+def test_buckets_follow_from_size_and_are_one_file_each(spark):
+    c = TermCounts(spark, fresh_path(spark, "terms"), {"p": "p", "o": "o"}, "s", bucket_rows=100)
+    rows = [(i, i % 5, i % 500) for i in range(2_000)]
+    c.update(added=frame(spark, rows))
+    assert c.buckets == 64
+    files = c._state("pairs").inputFiles()
+    assert len(files) == len({f.split("bucket=")[1].split("/")[0] for f in files}) == 64
+    c.update(removed=frame(spark, rows[100:]))
+    c.merge_runs()
+    assert c.buckets == 8 and held(c) == brute(rows[:100])
