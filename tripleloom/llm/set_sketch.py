@@ -2,11 +2,13 @@
 
 An element draws for each of m registers an exponential value of rate a, the same wherever it is seen; a register keeps
 the largest floor(1 - log_b(value)). Two sketches merge by maximum. The relative standard error is about 1/sqrt(m) for
-bases near 1. Sets that take no more bytes as a plain list of hashes are kept so, and are exact but for hash collisions."""
+bases near 1. Draws come in ascending order and end where they can't raise a register any more. Sets of very few elements
+are kept as plain lists of hashes, and are exact but for hash collisions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -15,31 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.runtime import fresh_path, stored
+from tripleloom.runtime import broadcastable, stored
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass(frozen=True)
 class Scale:
-    """m registers of one byte, base b, rate a. b = 1.14 reaches sets of about 10^12 elements."""
+    """m registers of one byte, base b, rate a. b = 1.14 reaches sets of about 10^12 elements. Sets of up to ``sparse``
+    elements are kept as plain lists of hashes."""
 
     m: int = 512
     b: float = 1.14
     a: float = 20.0
+    sparse: int = 16
 
     @property
     def rsd(self) -> float:
         """Relative standard error of a cardinality: 3.1 % at m = 1024, 4.4 % at 512."""
         return float(np.sqrt(((self.b + 1) / (self.b - 1) * np.log(self.b) - 1) / self.m))
 
-    @property
-    def sparse(self) -> int:
-        return self.m // 8
-
-    def level(self, v: np.ndarray) -> np.ndarray:
-        """Register values for uniforms in (0, 1): exponentials by inversion, then the logarithmic scale."""
-        return np.clip(np.floor(1 - np.log(-np.log1p(-v) / self.a) / np.log(self.b)), 0, 255).astype(np.uint8)
+    def level(self, x: np.ndarray) -> np.ndarray:
+        """Register values of exponential draws."""
+        return np.clip(np.floor(1 - np.log(x) / np.log(self.b)), 0, 255).astype(np.uint8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,25 +49,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_tables: dict[Scale, np.ndarray] = {}
-_COARSE = 1024
+def draws(hashes: np.ndarray, limit: np.ndarray, scale: Scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The draws of each element in ascending order up to its limit: places of the elements, registers, values.
+
+    An element's draws are a Poisson process of rate a m whose points fall on registers at random, so that the first point
+    of each register is exponential of rate a, independently of the others. All follow from the hash alone."""
+    at, h, x = np.arange(len(hashes)), hashes.astype(np.uint64), np.zeros(len(hashes))
+    step = 0
+    with np.errstate(over="ignore"):
+        while len(at):
+            step += 1
+            word = _mix(h + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            x = x - np.log1p(-((word >> np.uint64(11)) + 0.5) / (1 << 53)) / (scale.a * scale.m)
+            keep = np.flatnonzero(x <= limit)
+            at, h, x, limit, word = at[keep], h[keep], x[keep], limit[keep], word[keep]
+            register = ((_mix(word ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * np.uint64(scale.m)) >> np.uint64(32)
+            yield at, register.astype(np.int64), x
+
+
+def fill(registers: np.ndarray, slot: np.ndarray, hashes: np.ndarray, scale: Scale) -> None:
+    """Puts elements into the rows ``slot`` of the registers.
+
+    Draws above a limit are left out at first: what could still raise a register lies below b^-(smallest register), and a row
+    of n new elements has almost surely a draw below (ln m + 4) / (a n) in every register. Rows where that turns out to be
+    wrong are drawn again with twice the limit, so the result is that of all draws; the work for a row is about
+    m (ln m + 4) draws and one for each element, not m for each."""
+    flat = registers.reshape(-1)
+    n = np.bincount(slot, minlength=len(registers))
+    ceiling = float(scale.b)  # draws above are worth 0
+    limit = np.minimum(ceiling, (np.log(scale.m) + 4) / (scale.a * np.maximum(n, 1)))
+    limit = np.minimum(limit, scale.b ** -registers.min(axis=1).astype(float)) if len(registers) else limit
+    left = np.arange(len(slot))
+    while len(left):
+        s = slot[left]
+        for at, register, x in draws(hashes[left], limit[s], scale):
+            np.maximum.at(flat, s[at] * scale.m + register, scale.level(x))
+        unsure = (limit < ceiling) & (registers.min(axis=1) < scale.level(limit))
+        left = left[unsure[s]]
+        limit = np.where(unsure, np.minimum(ceiling, 2 * limit), limit)
 
 
 def registers_of(hashes: np.ndarray, scale: Scale) -> np.ndarray:
-    """One row of m bytes for each 64-bit hash. A mixed word gives four registers by table; the smallest slots of a
-    table, where the scale is finer than the slot, are drawn again with 53 bits."""
-    if scale not in _tables:
-        _tables[scale] = scale.level((np.arange(1 << 16) + 0.5) / (1 << 16))
-    table = _tables[scale]
-    h = hashes.astype(np.uint64, copy=False)[:, None]
-    words = -(-scale.m // 4)
-    with np.errstate(over="ignore"):
-        x = _mix(h + (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :])
-        slots = x.view(np.uint16).reshape(len(h), words * 4)[:, : scale.m]
-        out = table[slots]
-        r, c = np.nonzero(slots < _COARSE)
-        fine = _mix(h[r, 0] ^ (np.uint64(0xD1B54A32D192ED03) * (c + 1).astype(np.uint64)))
-        out[r, c] = scale.level((slots[r, c] + ((fine >> np.uint64(11)) + 0.5) / (1 << 53)) / (1 << 16))
+    """One row of m bytes for each 64-bit hash."""
+    out = np.zeros((len(hashes), scale.m), dtype=np.uint8)
+    fill(out, np.arange(len(hashes)), hashes, scale)
     return out
 
 
@@ -77,14 +102,19 @@ def cardinality(registers: np.ndarray, scale: Scale) -> np.ndarray:
     return scale.m * (1 - 1 / scale.b) / (scale.a * np.log(scale.b) * power[registers].sum(axis=1))
 
 
-def joint(x: np.ndarray, y: np.ndarray, n_x: float, n_y: float, scale: Scale) -> tuple[float, float, float, float]:
-    """Jaccard similarity by maximum likelihood from the numbers of registers in which x is above, below or equal to y;
-    with it the union, the intersection and the standard error of the Jaccard similarity (inverse Fisher information)."""
-    above, below = int((x > y).sum()), int((x < y).sum())
+def joint(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, scale: Scale) -> dict[str, np.ndarray]:
+    """Union, intersection and Jaccard similarity of the sets of each row of registers x and y, with standard errors.
+
+    The similarity is that of maximum likelihood given the numbers of registers in which x is above, below or equal to y; its
+    error comes from the Fisher information. Union and intersection follow from it and the two cardinalities, and their
+    errors by propagation: that of the cardinalities (taken as fully correlated, the worst case) and that of the similarity."""
+    above, below = (x > y).sum(axis=1), (x < y).sum(axis=1)
     equal = scale.m - above - below
     u, v = n_x / (n_x + n_y), n_y / (n_x + n_y)
-    p = lambda z: -np.log1p(-z * (scale.b - 1) / scale.b) / np.log(scale.b)
-    top = min(u / v, v / u)
+    top = np.minimum(u / v, v / u)
+
+    def p(z):
+        return -np.log1p(-z * (scale.b - 1) / scale.b) / np.log(scale.b)
 
     def parts(j):
         hi, lo = np.maximum(p(u - v * j), 1e-15), np.maximum(p(v - u * j), 1e-15)
@@ -94,17 +124,27 @@ def joint(x: np.ndarray, y: np.ndarray, n_x: float, n_y: float, scale: Scale) ->
         hi, lo, eq = parts(j)
         return above * np.log(hi) + below * np.log(lo) + equal * np.log(eq)
 
-    left, right = 0.0, top
+    left, right = np.zeros(len(top)), top.copy()
     for _ in range(60):
         a, c = left + (right - left) / 3, right - (right - left) / 3
-        left, right = (a, right) if loglik(a) < loglik(c) else (left, c)
+        less = loglik(a) < loglik(c)
+        left, right = np.where(less, a, left), np.where(less, right, c)
     j = (left + right) / 2
-    d = max(1e-6, 1e-4 * top)
-    lo, hi = max(0.0, j - d), min(top, j + d)
-    slope = [(q - r) / max(hi - lo, 1e-12) for q, r in zip(parts(hi), parts(lo))]
-    info = scale.m * sum(s * s / q for s, q in zip(slope, parts(j)))
-    union = (n_x + n_y) / (1 + j)
-    return float(j), float(union), float(union * j), float(1 / np.sqrt(info)) if info > 0 else 0.0
+    d = np.maximum(1e-6, 1e-4 * top)
+    lo, hi = np.maximum(0.0, j - d), np.minimum(top, j + d)
+    slopes = [(q - r) / np.maximum(hi - lo, 1e-12) for q, r in zip(parts(hi), parts(lo))]
+    info = scale.m * sum(s * s / q for s, q in zip(slopes, parts(j)))
+    error = np.where(info > 0, 1 / np.sqrt(np.maximum(info, 1e-300)), 0.0)
+    total = n_x + n_y
+    union = total / (1 + j)
+    return {
+        "n_union": union,
+        "n_both": union * j,
+        "jaccard": j,
+        "jaccard_error": error,
+        "union_error": union * np.hypot(scale.rsd, error / (1 + j)),
+        "both_error": np.hypot(union * j * scale.rsd, total * error / (1 + j) ** 2),
+    }
 
 
 def levels(dims: Sequence[str]) -> list[tuple[str, ...]]:
@@ -120,9 +160,9 @@ def _binary(lengths: np.ndarray, data: np.ndarray, present: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [pa.py_buffer(bits.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
 
 
-def fold(group: np.ndarray, hashes: np.ndarray, n_groups: int, scale: Scale, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, dict[int, int], np.ndarray]:
-    """Sketches of (group, element) pairs: counts of distinct elements, the sparse groups' hashes in group order, the place
-    of each dense group among the registers, and the registers."""
+def fold(group: np.ndarray, hashes: np.ndarray, n_groups: int, scale: Scale, registers: np.ndarray | None = None, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches of (group, element) pairs, added to the registers of the groups that are dense already: the number of distinct
+    elements, the hashes of sparse groups in group order, which groups are dense, and the registers of these in group order."""
     order = np.lexsort((hashes, group))
     g, h = group[order], hashes[order]
     if len(g):
@@ -130,139 +170,122 @@ def fold(group: np.ndarray, hashes: np.ndarray, n_groups: int, scale: Scale, chu
         new[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
         g, h = g[new], h[new]
     n = np.bincount(g, minlength=n_groups)
-    dense = n > scale.sparse
-    place = {int(x): i for i, x in enumerate(np.flatnonzero(dense))}
-    regs = np.zeros((len(place), scale.m), dtype=np.uint8)
-    if place:
-        slot = np.cumsum(dense) - 1
-        mine = dense[g]
-        dg, dh = slot[g[mine]], h[mine]
-        elements, at = np.unique(dh, return_inverse=True)
-        by_element = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[by_element], np.arange(0, len(elements) + chunk, chunk))
-        for i in range(len(edges) - 1):
-            rows = by_element[edges[i] : edges[i + 1]]
-            if not len(rows):
-                continue
-            matrix = registers_of(elements[i * chunk : (i + 1) * chunk], scale)
-            rows = rows[np.argsort(dg[rows], kind="stable")]
-            groups, starts = np.unique(dg[rows], return_index=True)
-            for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(rows)])):
-                np.maximum(regs[groups[k]], matrix[at[rows[s:e]] - i * chunk].max(axis=0), out=regs[groups[k]])
-    return n, h[~dense[g]], place, regs
-
-
-def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str], scale: Scale = Scale(), combos: Sequence[tuple[str, ...]] | None = None, task_rows: int = 2_000_000) -> DataFrame:
+    known = np.zeros(n_groups, dtype=bool) if dense is None else dense
+    dense = known | (n > scale.sparse)
+    slot = np.cumsum(dense) - 1
+    regs = np.zeros((int(dense.sum()), scale.m), dtype=np.uint8)
+    if registers is not None:
+        regs[slot[known]] = registers
+    mine = dense[g]
+    fill(regs, slot[g[mine]], h[mine], scale)
+    return n, h[~mine], dense, regs
+
+
+def group_codes(codes: Sequence[tuple[np.ndarray, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with several codes, each below its number of values: first row and group number of each distinct combination.
+    Codes are renumbered before their product could leave 64 bits."""
+    key, top = np.zeros(n, dtype=np.int64), 1
+    for code, size in codes:
+        size = max(1, size)
+        if top > (1 << 62) // size:
+            values, key = np.unique(key, return_inverse=True)
+            top = len(values)
+        key, top = key * size + code, top * size
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    return first, group
+
+
+def _encoded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Codes and values of a column; null is a value."""
+    enc = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    enc = enc.combine_chunks() if isinstance(enc, pa.ChunkedArray) else enc
+    return enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
+
+
+def _columns(n: np.ndarray, sparse: np.ndarray, dense: np.ndarray, regs: np.ndarray, m: int) -> list[pa.Array]:
+    """hashes, registers, n."""
+    return [_binary(np.where(dense, 0, n * 8), sparse, ~dense), _binary(np.where(dense, m, 0), regs, dense), pa.array(n, mask=dense, type=pa.int64())]
+
+
+def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str], scale: Scale = Scale(), combos: Sequence[tuple[str, ...]] | None = None, task_rows: int = 2_000_000, task_share: float = 1 / 128) -> DataFrame:
     """A mergeable partial result for each value of ``lead`` (as a day) with each combination of values of ``dims``.
 
     dimensions (names of the grouped dims, joined by +; '' for the lead alone), lead, the dims (null where not grouped),
     hashes (sparse sets) or registers (dense sets), and n: the count that was found on the way for sparse sets.
-    Leads with more than ``task_rows`` rows are split by element, so that no task holds a hot lead; their parts are merged
-    by ``merged``. The lead's values must be few enough for a driver-side list of the hot ones (days are).
+    Equal rows are made one where they are read. A lead with more rows than ``task_rows``, or more than ``task_share`` of all, is
+    split into parts, each sketched in a task of its own, and these are merged by ``merged``.
     Null elements count for nothing; null leads and null dims are groups of their own. No rows give no rows."""
     combos = levels(dims) if combos is None else list(combos)
-    rows = df.select(F.col(f"`{lead}`").alias("lead"), *(F.col(f"`{d}`").alias(f"d{i}") for i, d in enumerate(dims)), F.xxhash64(F.col(f"`{element}`")).alias("h"), F.col(f"`{element}`").isNull().alias("none")).where("NOT none").drop("none")
-    hot = rows.groupBy("lead").count().where(F.col("count") > task_rows).collect()
-    salts = F.lit(1)
-    for r in hot:
-        salts = F.when(F.col("lead").eqNullSafe(F.lit(r["lead"])), -(-r["count"] // task_rows)).otherwise(salts)
-    kinds = dict(rows.dtypes)
     names = [f"d{i}" for i in range(len(dims))]
+    rows = df.select(F.col(f"`{lead}`").alias("lead"), *(F.col(f"`{d}`").alias(x) for x, d in zip(names, dims)), F.xxhash64(F.col(f"`{element}`")).alias("h"), F.col(f"`{element}`").isNull().alias("none")).where("NOT none").drop("none")
+    counted = stored(rows.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), "leads")
+    limit = max(1, min(task_rows, math.ceil(task_share * (counted.agg(F.sum("c")).first()[0] or 0))))
+    hot = counted.where(F.col("c") > limit).select(F.col("lead").alias("hot"), F.ceil(F.col("c") / limit).alias("salts"))
+    if broadcastable(hot, 100_000):
+        hot = F.broadcast(hot)
+    kinds = dict(rows.dtypes)
     masks = [[dims.index(d) for d in c] for c in combos]
     labels = ["+".join(c) for c in combos]
 
     def sketch(part: pa.Table) -> pa.Table:
         hashes = part["h"].to_numpy().view(np.uint64)
-        codes, values = [], []
-        for d in names:
-            enc = part[d].combine_chunks().dictionary_encode(null_encoding="encode")
-            enc = enc.combine_chunks() if isinstance(enc, pa.ChunkedArray) else enc
-            codes.append(enc.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-            values.append(enc.dictionary)
+        codes, values = zip(*(_encoded(part[d]) for d in names)) if names else ((), ())
         out = []
         for mask, label in zip(masks, labels):
-            key = np.zeros(len(hashes), dtype=np.int64)
-            for i in mask:
-                key = key * len(values[i]) + codes[i]
-                if len(values[i]) > 1 << 20:
-                    key = np.unique(key, return_inverse=True)[1]
-            _, first, group = np.unique(key, return_index=True, return_inverse=True)
-            n, sparse, place, regs = fold(group, hashes, len(first), scale)
-            dense = n > scale.sparse
+            first, group = group_codes([(codes[i], len(values[i])) for i in mask], len(hashes))
+            n, sparse, dense, regs = fold(group, hashes, len(first), scale)
             cols = [pa.array([label] * len(first), pa.string()), part["lead"].take(pa.array(np.zeros(len(first), dtype=np.int64)))]
             for i in range(len(names)):
                 cols.append(values[i].take(pa.array(codes[i][first])) if i in mask else pa.nulls(len(first), values[i].type))
-            cols += [_binary(np.where(dense, 0, n * 8), sparse, ~dense), _binary(np.where(dense, scale.m, 0), regs, dense), pa.array(n, mask=dense, type=pa.int64())]
-            out.append(pa.table(cols, names=["dimensions", "lead", *names, "hashes", "registers", "n"]))
+            cols += [*_columns(n, sparse, dense, regs, scale.m), part["salts"].take(pa.array(np.zeros(len(first), dtype=np.int64)))]
+            out.append(pa.table(cols, names=["dimensions", "lead", *names, "hashes", "registers", "n", "salts"]))
         return pa.concat_tables(out)
 
-    schema = f"dimensions string, lead {kinds['lead']}, " + "".join(f"{d} {kinds[d]}, " for d in names) + "hashes binary, registers binary, n long"
-    parts = rows.withColumn("salt", F.pmod("h", salts)).groupBy("lead", "salt").applyInArrow(sketch, schema)
-    parts = parts.select("dimensions", F.col("lead").alias(lead), *(F.col(f"d{i}").alias(d) for i, d in enumerate(dims)), "hashes", "registers", "n")
-    if not hot:
-        return parts
-    path = fresh_path(df.sparkSession, "partials")
-    parts.write.parquet(path)
-    parts = df.sparkSession.read.schema(parts.schema).parquet(path)
-    split = F.lit(False)
-    for r in hot:
-        split = split | F.col(f"`{lead}`").eqNullSafe(F.lit(r["lead"]))
-    return parts.where(~split).unionByName(merged(parts.where(split), ["dimensions", lead, *dims], scale))
+    schema = f"dimensions string, lead {kinds['lead']}, " + "".join(f"{d} {kinds[d]}, " for d in names) + "hashes binary, registers binary, n long, salts long"
+    once = rows.join(hot, F.col("lead").eqNullSafe(F.col("hot")), "left").select("lead", *names, "h", F.coalesce("salts", F.lit(1)).alias("salts")).distinct()
+    parts = once.withColumn("salt", F.pmod("h", "salts")).groupBy("lead", "salt").applyInArrow(sketch, schema)
+    parts = stored(parts.select("dimensions", F.col("lead").alias(lead), *(F.col(x).alias(d) for x, d in zip(names, dims)), "hashes", "registers", "n", "salts"), "partials")
+    return parts.where("salts = 1").drop("salts").unionByName(merged(parts.where("salts > 1").drop("salts"), ["dimensions", lead, *dims], scale))
 
 
 def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), bucket_rows: int = 20_000) -> DataFrame:
     """One sketch for each group of equal ``keys`` (null equals null): registers by maximum, lists of hashes as sets.
 
-    Groups are merged in buckets by hash of their keys of about ``bucket_rows`` parts, of which a task takes one at a time;
-    equal groups of a bucket are first folded within each of the parts' partitions, so many parts of one group don't meet
-    in one task. No rows give no rows."""
+    Equal groups are first folded within each of the parts' partitions, so many parts of one group don't meet in one task; what
+    is left is merged in buckets by hash of the keys of about ``bucket_rows`` parts, of which a task takes one at a time. No
+    rows give no rows."""
     kinds = dict(parts.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", hashes binary, registers binary, n long"
 
     def merge(part: pa.Table) -> pa.Table:
-        key = np.zeros(part.num_rows, dtype=np.int64)
-        for k in keys:
-            enc = part[k].combine_chunks().dictionary_encode(null_encoding="encode")
-            enc = enc.combine_chunks() if isinstance(enc, pa.ChunkedArray) else enc
-            key = np.unique(key * len(enc.dictionary) + enc.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        _, first, group = np.unique(key, return_index=True, return_inverse=True)
-        lists, regs = part["hashes"].to_pylist(), part["registers"].to_pylist()
-        got = np.zeros((len(first), scale.m), dtype=np.uint8)
-        dense = np.zeros(len(first), dtype=bool)
-        for g, r in zip(group, regs):
-            if r is not None:
-                np.maximum(got[g], np.frombuffer(r, np.uint8), out=got[g])
-                dense[g] = True
-        own = [i for i, x in enumerate(lists) if x is not None]
-        h = np.frombuffer(b"".join(lists[i] for i in own), np.uint64)
-        g = np.repeat(group[own], [len(lists[i]) // 8 for i in own]) if own else np.zeros(0, np.int64)
-        n, sparse, place, more = fold(g, h, len(first), scale)
-        for x, i in place.items():
-            np.maximum(got[x], more[i], out=got[x])
-            dense[x] = True
-        ends = np.cumsum(np.where(n > scale.sparse, 0, n))
-        keep = []
-        for x in range(len(first)):
-            few = sparse[ends[x] - (n[x] if n[x] <= scale.sparse else 0) : ends[x]]
-            if dense[x]:
-                if len(few):
-                    np.maximum(got[x], registers_of(few, scale).max(axis=0), out=got[x])
-            else:
-                keep.append(few)
-        data = np.concatenate(keep) if keep else np.zeros(0, np.uint64)
+        codes = [_encoded(part[k]) for k in keys]
+        first, group = group_codes([(c, len(v)) for c, v in codes], part.num_rows)
+        known = np.zeros(len(first), dtype=bool)
+        full = np.flatnonzero(part["registers"].is_valid().to_numpy())
+        known[group[full]] = True
+        regs = None
+        if len(full):
+            rows = np.frombuffer(b"".join(part["registers"].drop_null().to_pylist()), np.uint8).reshape(-1, scale.m)
+            order = np.argsort(group[full], kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(group[full][order]) > 0])
+            regs = np.maximum.reduceat(rows[order], starts, axis=0)
+        own = np.flatnonzero(part["hashes"].is_valid().to_numpy())
+        lists = part["hashes"].drop_null().to_pylist()
+        h = np.frombuffer(b"".join(lists), np.uint64)
+        g = np.repeat(group[own], [len(x) // 8 for x in lists]) if len(own) else np.zeros(0, np.int64)
+        n, sparse, dense, regs = fold(g, h, len(first), scale, regs, known)
         cols = [part[k].take(pa.array(first)) for k in keys]
-        cols += [_binary(np.where(dense, 0, n * 8), data, ~dense), _binary(np.where(dense, scale.m, 0), got[dense], dense), pa.array(n, mask=dense, type=pa.int64())]
-        return pa.table(cols, names=[*keys, "hashes", "registers", "n"])
+        return pa.table([*cols, *_columns(n, sparse, dense, regs, scale.m)], names=[*keys, "hashes", "registers", "n"])
 
     def first_fold(batches):
         for b in batches:
             if b.num_rows:
                 yield from merge(pa.Table.from_batches([b])).to_batches()
 
-    buckets = max(1, -(-parts.count() // bucket_rows))
-    parts = parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema)
+    folded = stored(parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema), "folded")
+    buckets = max(1, -(-folded.count() // bucket_rows))
     hashed = F.pmod(F.xxhash64(*(F.col(f"`{k}`").isNull() for k in keys), *(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).alias("_bucket")
-    return parts.select("*", hashed).groupBy("_bucket").applyInArrow(lambda t: merge(t.drop_columns(["_bucket"])), schema)
+    return folded.select("*", hashed).groupBy("_bucket").applyInArrow(lambda t: merge(t.drop_columns(["_bucket"])), schema)
 
 
 def rolled_up(sketches: DataFrame, lead: str, dims: Sequence[str], scale: Scale = Scale()) -> DataFrame:
@@ -297,37 +320,47 @@ def estimated(sketches: DataFrame, scale: Scale = Scale(), z: float = 1.96) -> D
     return sketches.select(*kept, "registers", "n").mapInArrow(count, schema)
 
 
+OVERLAP = ["n_left", "n_right", "n_union", "n_both", "jaccard", "jaccard_error", "union_error", "both_error"]
+
+
 def overlaps(pairs: DataFrame, left: str, right: str, scale: Scale = Scale()) -> DataFrame:
-    """Adds n_left, n_right, n_union, n_both, jaccard and jaccard_error for the sketches in the struct columns ``left`` and
-    ``right`` (fields hashes, registers). Two lists of hashes are compared exactly (error 0), else by maximum likelihood."""
+    """Adds n_left, n_right, n_union, n_both, jaccard and the standard errors jaccard_error, union_error and both_error for the
+    sketches in the struct columns ``left`` and ``right`` (fields hashes, registers). Two lists of hashes are compared
+    exactly (errors 0), else by maximum likelihood, all pairs of a batch at once."""
     kept = [c for c in pairs.columns if c not in (left, right)]
     kinds = dict(pairs.dtypes)
-    new = ["n_left", "n_right", "n_union", "n_both", "jaccard", "jaccard_error"]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} double" for c in new)])
-
-    def one(x: dict, y: dict) -> tuple[float, ...]:
-        if x["registers"] is None and y["registers"] is None:
-            a, b = (np.frombuffer(s["hashes"], np.uint64) for s in (x, y))
-            both = len(np.intersect1d(a, b))
-            union = len(a) + len(b) - both
-            return float(len(a)), float(len(b)), float(union), float(both), both / union if union else 0.0, 0.0
-        regs, ns = [], []
-        for s in (x, y):
-            if s["registers"] is None:
-                h = np.frombuffer(s["hashes"], np.uint64)
-                regs.append(registers_of(h, scale).max(axis=0) if len(h) else np.zeros(scale.m, np.uint8))
-                ns.append(float(len(h)))
-            else:
-                regs.append(np.frombuffer(s["registers"], np.uint8))
-                ns.append(float(cardinality(regs[-1][None, :], scale)[0]))
-        if not min(ns):
-            return ns[0], ns[1], sum(ns), 0.0, 0.0, 0.0
-        j, union, both, error = joint(regs[0], regs[1], ns[0], ns[1], scale)
-        return ns[0], ns[1], union, both, j, error
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} double" for c in OVERLAP)])
+
+    def side(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Registers of each row, its cardinality, whether it is a list, and the lists."""
+        lists, regs = column.field("hashes").to_pylist(), column.field("registers").to_pylist()
+        few = np.array([r is None for r in regs], dtype=bool)
+        out = np.zeros((len(regs), scale.m), dtype=np.uint8)
+        if not few.all():
+            out[~few] = np.frombuffer(b"".join(r for r in regs if r is not None), np.uint8).reshape(-1, scale.m)
+        sizes = np.array([len(x or b"") // 8 for x in lists], dtype=np.int64)
+        n = sizes.astype(float)
+        n[~few] = cardinality(out[~few], scale)
+        return out, n, few, [np.frombuffer(x or b"", np.uint64) for x in lists]
 
     def compare(batches):
         for b in batches:
-            got = [one(x, y) for x, y in zip(b.column(left).to_pylist(), b.column(right).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array([g[i] for g in got], pa.float64()) for i in range(6))], names=[*kept, *new])
+            if not b.num_rows:
+                continue
+            (x, n_x, few_x, list_x), (y, n_y, few_y, list_y) = side(b.column(left)), side(b.column(right))
+            got = {c: np.zeros(b.num_rows) for c in OVERLAP} | {"n_left": n_x, "n_right": n_y, "n_union": n_x + n_y}
+            both = few_x & few_y
+            for i in np.flatnonzero(both):
+                common = len(np.intersect1d(list_x[i], list_y[i]))
+                union = n_x[i] + n_y[i] - common
+                got["n_union"][i], got["n_both"][i], got["jaccard"][i] = union, common, common / union if union else 0.0
+            mixed = np.flatnonzero(~both & (n_x > 0) & (n_y > 0))
+            for regs, few, lists in ((x, few_x, list_x), (y, few_y, list_y)):
+                mine = mixed[few[mixed]]
+                fill(regs, np.repeat(mine, [len(lists[i]) for i in mine]), np.concatenate([lists[i] for i in mine]) if len(mine) else np.zeros(0, np.uint64), scale)
+            if len(mixed):
+                for c, values in joint(x[mixed], y[mixed], n_x[mixed], n_y[mixed], scale).items():
+                    got[c][mixed] = values
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(got[c]) for c in OVERLAP)], names=[*kept, *OVERLAP])
 
     return pairs.mapInArrow(compare, schema)
