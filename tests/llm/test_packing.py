@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tripleloom.llm.packing import best_fit_decreasing, pack, token_counts, tokenizer
+from tripleloom.llm.packing import best_fit_decreasing, count_tokens, pack, packed, token_counts, tokenizer
 
 
 def naive(sizes, capacity):
@@ -45,9 +45,11 @@ def check(rows, items, capacity):
 @pytest.mark.parametrize("task_bins", [50_000, 7])
 def test_whole_documents_in_containers(spark, task_bins):
     rng = np.random.default_rng(2)
-    items = [(i, int(x)) for i, x in enumerate(rng.integers(1, 70, 400))] + [(1000, 250), (1001, 100), (1002, 0), (1003, None), (1004, -5)]
+    items = [(i, int(x)) for i, x in enumerate(rng.integers(1, 70, 3000))] + [(9000, 250), (9001, 100), (9002, 0), (9003, None), (9004, -5)]
     df = spark.createDataFrame(items, "doc_id long, n_tokens long").selectExpr("*", "1 AS bin", "2 AS fill", "3 AS content", "4 AS key", "5 AS size").repartition(8)
-    n = check(pack(df, "doc_id", "n_tokens", 100, task_bins=task_bins).collect(), items, 100)
+    done = packed(df, "doc_id", "n_tokens", 100, task_bins=task_bins)
+    n = check(done.containers.collect(), items, 100)
+    assert len(done.rounds) >= 3 and [r[0] for r in done.rounds[:2]] == [16, max(4, -(-done.rounds[1][1] // task_bins))]
     least = -(-sum(max(0, x or 0) for _, x in items) // 100)
     assert n <= least * (1.02 if task_bins > 7 else 1.25) + 1
 
@@ -65,11 +67,28 @@ def test_repeats_empty_and_faults(spark):
         pack(spark.createDataFrame([(1, 1)], "doc_id long, n_tokens long"), "doc_id", "n_tokens", 0)
 
 
+def test_the_partitions_of_the_input_do_not_matter(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(i) % 250, int(x)) for i, x in enumerate(rng.integers(1, 70, 300))] + [(7, 30)] * 90, "doc_id long, n_tokens long")
+    runs = [sorted(tuple(r) for r in pack(d, "doc_id", "n_tokens", 100, task_items=40).collect()) for d in (df.repartition(2), df.repartition(7, "n_tokens"))]
+    assert runs[0] == runs[1]
+
+
 def test_token_counts(spark):
-    texts = [None, "", "a b c", "é\n\n  x", "word " * 600_000]
+    texts = [None, "", "a b c", "é\n\n  x", "word " * 600_000, "abcdefgh" * 200_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS key", "2 AS n_tokens")
     got = {r["key"]: r["n_tokens"] for r in token_counts(df, "doc_id", "text").collect()}
     enc = tokenizer()
-    assert got[0] == got[1] == 0
-    assert all(got[i] == len(enc.encode_ordinary(texts[i])) for i in (2, 3))
-    assert abs(got[4] - len(enc.encode_ordinary(texts[4]))) <= 4
+    assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("text", ["a{}b", "a{}", "{}b", "{}", "x{}\u00e9y{}z", "1{}2{}.", "a{}'s{}  b"])
+@pytest.mark.parametrize("blank", [" " * 1000, "\n" * 1500, " \n\t" * 700, "\u3000 \xa0" * 500 + " "])
+def test_long_white_space_counts_as_in_whole(text, blank):
+    enc = tokenizer()
+    text = text.replace("{}", blank)
+    assert count_tokens(enc, text) == len(enc.encode_ordinary(text))
+
+
+def test_white_space_without_end():
+    assert count_tokens(tokenizer(), "a" + " " * 2_000_000 + "b") > 1
