@@ -1,100 +1,73 @@
 """Evaluation texts leaking into training text: greedy string tiling.
 
-Documents are read as words (see tex), every run of ``seed`` words that an item shares is a seed; from the seeds the longest
-matches of unmarked words are marked again and again, found by Karp-Rabin fingerprints of the runs and checked word by word.
-Tiles may come in any order, so reordered passages count."""
+Documents are read as words (see tex); runs of ``seed`` words are seeds, and those that a document and an item share are found
+by joining Karp-Rabin fingerprints. Shared seeds that follow each other in both make up the longest matches; of these the
+longest of unmarked words is marked again and again. Tiles may come in any order, so reordered passages count."""
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm import tex
-from tripleloom.runtime import spread
+from tripleloom.runtime import spread, stored
 
 _BASE = 1_000_003
-_MASK = (1 << 64) - 1
-#: Items of one block: a broadcast of a few MB at most. More items are taken block by block, each against all documents.
-BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 16 << 20
+#: Bits of the filter that documents are read with: so many for each seed, within these bounds (at most 64 MB are broadcast).
+FILTER_BITS = (20, 29)
+BITS_A_SEED = 32
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 2_000_000
+_known: dict[str, int] = {}
 
 
 def fingerprints(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin fingerprints modulo 2^64 of all runs of k numbers."""
+    """Karp-Rabin fingerprints modulo 2^64 of all runs of k numbers, with their bits mixed."""
     n = len(ids) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        x = ids.astype(np.uint64) + np.uint64(1)
         for i in range(k):
-            h = h * np.uint64(_BASE) + x[i : i + n]
-    return h
-
-
-class Items:
-    """The items of a block, by their place in it: their words as numbers and where each fingerprint of ``seed`` words is."""
-
-    def __init__(self, rows: list[tuple[int, str]], seed: int):
-        self.seed = seed
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [i for i, _ in rows]
-        self.words: list[list[int]] = []
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, (_, text) in enumerate(rows):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tex.words(tex.plain(text or "", {}))]
-            self.words.append(ids)
-            for i, h in enumerate(fingerprints(np.array(ids, dtype=np.int64), seed).tolist()):
-                self.at[h].append((item, i))
-        self.keys = np.array(sorted(self.at), dtype=np.uint64)
-
-    def seeds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words as numbers (-1 for those no item has) and the places of seeds."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        k = self.seed
-        if len(ids) < k:
-            return ids, np.zeros(0, dtype=np.int64)
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        whole = np.flatnonzero(unknown[k:] == unknown[:-k])
-        if not len(whole):
-            return ids, whole
-        runs = ids[whole[:, None] + np.arange(k)]
-        h = np.zeros(len(whole), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(k):
-                h = h * np.uint64(_BASE) + runs[:, i].astype(np.uint64) + np.uint64(1)
-        near = np.searchsorted(self.keys, h)
-        near[near == len(self.keys)] = 0
-        return ids, whole[self.keys[near] == h]
-
-    def matches(self, ids: np.ndarray, places: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """item -> maximal matches (length, place in the document, place in the item), each once."""
-        k, doc = self.seed, ids.tolist()
-        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        reached: dict[tuple[int, int], int] = {}
-        for p in places.tolist():
-            h = 0
-            for x in doc[p : p + k]:
-                h = (h * _BASE + x + 1) & _MASK
-            for item, i in self.at.get(h, ()):
-                diagonal = (item, p - i)
-                if reached.get(diagonal, -1) >= p + k:
-                    continue
-                words = self.words[item]
-                n = 0
-                while p + n < len(doc) and i + n < len(words) and doc[p + n] == words[i + n]:
-                    n += 1
-                if n >= k:
-                    reached[diagonal] = p + n
-                    out[item].append((n, p, i))
-        return out
+            h = h * np.uint64(_BASE) + ids[i : i + n]
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_ids(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same in every worker."""
+    out = np.empty(len(words), dtype=np.uint64)
+    for i, w in enumerate(words):
+        h = _known.get(w)
+        if h is None:
+            if len(_known) >= KNOWN_WORDS:
+                _known.clear()
+            h = _known[w] = xxhash.xxh64_intdigest(w)
+        out[i] = h
+    return out
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """Maximal matches (length, place in the document, place in the item) from the places of equal seeds: neighbours on a
+    diagonal are one match, as equal runs of ``seed`` words that follow each other are one longer run."""
+    shift = doc - item
+    order = np.lexsort((doc, shift))
+    d, s = doc[order], shift[order]
+    keep = np.ones(len(d), dtype=bool)
+    keep[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+    d, s = d[keep], s[keep]
+    first = np.ones(len(d), dtype=bool)
+    first[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1] + 1)
+    starts = np.flatnonzero(first)
+    n = np.diff(np.append(starts, len(d))) + seed - 1
+    return list(zip(n.tolist(), d[starts].tolist(), (d[starts] - s[starts]).tolist()))
 
 
 def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -143,65 +116,105 @@ def mixed(text: str) -> list[str]:
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 6, least: int = 6) -> DataFrame:
     """doc_id, item_id, longest (words of the longest tile), covered (words of the item in tiles of at least ``least`` words),
-    n_words (of the item), coverage: one row for each document and item that share a tile.
-
-    Null and empty texts share nothing; null ids are kept as ids. Repeated documents give repeated rows; items with the same
-    id and text count as one, those with the same id and other texts have a row each. Other columns are ignored."""
-    spark = docs.sparkSession
-    held = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL").distinct()
-    blocks = _blocks(held)
+    n_words (of the item), coverage: one row for each document and item that share a tile; the best of the document's
+    readings counts.
+
+    Documents are read once. What leaves the reading are the fingerprints of those runs of ``seed`` words that a filter
+    of the items' seeds lets through (bits of a bounded number, broadcast); they are joined with the items' seeds, and tiles are
+    made of the equal seeds of a document and an item. Equal fingerprints (64 bits) are taken for equal words. ``least``
+    is at least ``seed``, else ValueError.
+    Null and empty texts share nothing; null ids are kept as ids. Rows with the same id and text count as one, both of
+    documents and of items; rows with the same id and other texts have a row each. Other columns are ignored."""
+    if least < seed:
+        raise ValueError("tiles are no shorter than seeds")
     kind_d, kind_i = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    schema = f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double"
-    rows = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).where(F.length("text") > 0)
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-        part = rows.mapInArrow(_search(shared, seed, least), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def _blocks(held: DataFrame) -> list[list[tuple[int, str]]]:
-    """The stated items in blocks of bounded size."""
-    out: list[list[tuple[int, str]]] = []
-    chars = BLOCK_CHARS + 1
-    for i, t in held.orderBy("i", "t").toLocalIterator():
-        if chars > BLOCK_CHARS or len(out[-1]) >= BLOCK_ITEMS:
-            out.append([])
-            chars = 0
-        out[-1].append((i, t))
-        chars += len(t)
-    return out
+    seeds = stored(item_seeds(items, item_id, item_text, seed), "seeds")
+    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+    rows = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("doc_text"), F.col(f"`{text}`").alias("text"))).where(F.length("text") > 0)
+    hits = rows.mapInArrow(_reader(bits, seed), f"doc_id {kind_d}, doc_text long, reading int, doc_place int, fingerprint long")
+    same = hits.join(seeds, "fingerprint").select("doc_id", "doc_text", "item_id", "item_text", "n_words", "reading", "doc_place", "item_place")
+    tiled = same.groupBy("doc_id", "doc_text", "item_id", "item_text").applyInArrow(_tiler(seed, least), f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double")
+    return tiled
+
 
+def item_seeds(items: DataFrame, item_id: str, item_text: str, seed: int) -> DataFrame:
+    """fingerprint, item_place, item_id, item_text (hash), n_words: the seeds of each distinct item."""
+    kind = dict(items.dtypes)[item_id]
+    once = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where(F.length("text") > 0).distinct()
 
-def _search(shared, seed: int, least: int) -> Callable:
-    def search(batches):
-        block = Items(shared.value, seed)
+    def read(batches):
+        for b in batches:
+            words = [word_ids(tex.words(tex.plain(t, {}))) for t in b.column("text").to_pylist()]
+            prints = [fingerprints(w, seed) for w in words]
+            n = np.array([len(p) for p in prints], dtype=np.int64)
+            row = np.repeat(np.arange(b.num_rows), n)
+            if not len(row):
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.concatenate([np.arange(x) for x in n]).astype(np.int32)), b.column("item_id").take(pa.array(row)), b.column("item_text").take(pa.array(row)), pa.array(np.array([len(w) for w in words], dtype=np.int32)[row])],
+                names=["fingerprint", "item_place", "item_id", "item_text", "n_words"],
+            )
+
+    return once.withColumn("item_text", F.xxhash64("text")).mapInArrow(read, f"fingerprint long, item_place int, item_id {kind}, item_text long, n_words int")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """Bits that are set at the top bits of each fingerprint. Pages of bits are made where the seeds are, so the driver
+    gets the bits only; their number is bounded, more seeds only let more through."""
+    low, high = FILTER_BITS
+    width = min(high, max(low, int(seeds.count() * BITS_A_SEED).bit_length()))
+    page = 16
+
+    def paint(part: pa.Table) -> pa.Table:
+        own = np.zeros(1 << page, dtype=bool)
+        own[part["slot"].to_numpy() & ((1 << page) - 1)] = True
+        return pa.table([part["page"][:1], pa.array([np.packbits(own).tobytes()], pa.binary())], names=["page", "bits"])
+
+    slot = F.shiftrightunsigned("fingerprint", 64 - width)
+    pages = seeds.select(slot.alias("slot")).distinct().withColumn("page", F.shiftright("slot", page)).groupBy("page").applyInArrow(paint, "page long, bits binary")
+    out = np.zeros((1 << (width - page), 1 << (page - 3)), dtype=np.uint8)
+    for r in pages.toLocalIterator():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def passing(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the fingerprints that the filter lets through."""
+    width = (len(bits) * 8).bit_length() - 1
+    slot = prints >> np.uint64(64 - width)
+    return np.flatnonzero(bits[slot >> np.uint64(3)] & (np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8)))
+
+
+def _reader(bits, seed: int) -> Callable:
+    def read(batches):
         for b in batches:
-            found = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found += [(d, *x) for x in compare(t, block, least)]
-            if found:
-                cols = list(zip(*found))
-                types = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "longest", "covered", "n_words", "coverage"])
-
-    return search
-
-
-def compare(text: str, block: Items, least: int) -> list[tuple[int, int, int, int, float]]:
-    """item, longest, covered, words, coverage of one document, the best of its readings for each item."""
-    best: dict[int, tuple[int, int]] = {}
-    for stream in readings(text):
-        ids, places = block.seeds(stream)
-        _best(best, block, ids, places, least)
-    return [(block.ids[i], n, c, len(block.words[i]), c / len(block.words[i])) for i, (n, c) in best.items()]
-
-
-def _best(best: dict[int, tuple[int, int]], block: Items, ids: np.ndarray, places: np.ndarray, least: int) -> None:
-    for item, matches in block.matches(ids, places).items():
-        got = tiles(matches, least)
-        if got:
-            mine = (max(n for n, _, _ in got), sum(n for n, _, _ in got))
-            old = best.get(item, (0, 0))
-            best[item] = (max(old[0], mine[0]), max(old[1], mine[1]))
+            row, reading, place, prints = [], [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                for k, words in enumerate(readings(t)):
+                    mine = fingerprints(word_ids(words), seed)
+                    at = passing(mine, bits.value)
+                    if len(at):
+                        row.append(np.full(len(at), i))
+                        reading.append(np.full(len(at), k, dtype=np.int32))
+                        place.append(at.astype(np.int32))
+                        prints.append(mine[at])
+            if row:
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("doc_text").take(take), pa.array(np.concatenate(reading)), pa.array(np.concatenate(place)), pa.array(np.concatenate(prints).view(np.int64))], names=["doc_id", "doc_text", "reading", "doc_place", "fingerprint"])
+
+    return read
+
+
+def _tiler(seed: int, least: int) -> Callable:
+    def tile(part: pa.Table) -> pa.Table:
+        """The tiles of one document and one item, by reading."""
+        doc, place, reading = (part[c].to_numpy().astype(np.int64) for c in ("doc_place", "item_place", "reading"))
+        longest = covered = 0
+        for k in np.unique(reading):
+            got = tiles(diagonals(doc[reading == k], place[reading == k], seed), least)
+            longest, covered = max([longest, *(n for n, _, _ in got)]), max(covered, sum(n for n, _, _ in got))
+        one = part.slice(0, 1 if longest else 0)
+        n = one["n_words"].to_numpy()
+        return pa.table([one["doc_id"], one["item_id"], pa.array([longest][: len(n)], pa.int32()), pa.array([covered][: len(n)], pa.int32()), one["n_words"], pa.array(covered / n)], names=["doc_id", "item_id", "longest", "covered", "n_words", "coverage"])
+
+    return tile
