@@ -14,7 +14,6 @@ from tripleloom.runtime import read
 
 ROLES = {"s": "s", "p": "p"}
 HOT_SHARE = 0.02
-FILE_BYTES = 16 << 20
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +40,13 @@ def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = compact(read(spark, sf_dir, "nt_files"), FILE_BYTES)
+    done = compact(read(spark, sf_dir, "nt_files"))
     return compacted(done, spark).select("file_id", "line_no")
 
 
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the consolidated files."""
-    done = compact(read(spark, sf_dir, "nt_files"), FILE_BYTES)
+    done = compact(read(spark, sf_dir, "nt_files"))
     return compacted(done, spark).select("file_id", "line_no", "record")
 
 
