@@ -60,3 +60,25 @@ def test_ordinals(spark):
     df = spark.createDataFrame([(x,) for x in [5, 3, 3, None, 9, -1]], "k long")
     assert sorted(tuple(r) for r in ordinals(df, "k").collect()) == [(-1, 0), (3, 1), (5, 2), (9, 3)]
     assert ordinals(df.where("false"), "k").count() == 0
+    assert sorted(r["ordinal"] for r in ordinals(spark.range(1000).repartition(7), "id").collect()) == list(range(1000))
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_many_attributes(spark, n):
+    attrs = [(i, f"a{i}", ["integer", "string", "date", "double"][i % 4]) for i in range(n)]
+    terms = [(1, "L", "7"), (2, "L", "2024-01-02"), (3, "I", "x")]
+    triples = [(1, i, 1 + i % 2) for i in range(n)] + [(2, n - 1, 1)]
+    wide, names = wide_table(spark.createDataFrame(triples, "s long, p long, o long"), spark.createDataFrame(terms, "id long, kind string, lex string"), spark.createDataFrame(attrs, "p long, attr string, col_type string"))
+    got = {r["s"]: r["filled"] for r in wide.select("s", "filled").collect()}
+    fits = {"integer": "1", "string": "12", "date": "2", "double": "1"}
+    assert len(names) == n and got[2] == [f"a{n - 1}"]
+    assert sorted(got[1]) == sorted(a for i, a, t in attrs if str(1 + i % 2) in fits[t])
+
+
+def test_ranges(spark):
+    from pyspark.sql import functions as F
+
+    triples = spark.range(5000).select((F.col("id") * 7 % 5000).alias("s"), F.lit(1).cast("long").alias("p"), F.col("id").alias("o"))
+    terms = spark.range(5000).select("id", F.lit("L").alias("kind"), F.col("id").cast("string").alias("lex"))
+    wide, _ = wide_table(triples, terms, spark.createDataFrame([(1, "n", "integer")], "p long, attr string, col_type string"))
+    assert wide.where((F.col("n") * 7) % 5000 != F.col("s")).count() == 0 and wide.where("n IS NOT NULL").count() == 5000

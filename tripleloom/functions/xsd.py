@@ -34,10 +34,31 @@ def in_lexical_space(lex: Column, local_name: str) -> Column:
     return lex.rlike(LEXICAL[local_name])
 
 
+def moment(lex: Column) -> Column:
+    """The time of a conforming dateTime: UTC where there's no zone, fractions cut to microseconds, 24:00:00 the next day's start."""
+    text = F.regexp_replace(F.regexp_replace(lex, r"T24:00:00(?:\.0+)?", "T00:00:00"), r"(\.[0-9]{6})[0-9]+", "$1")
+    stamp = text.try_cast("timestamp")
+    return F.when(lex.contains("T24:00:00"), stamp + F.expr("INTERVAL 1 DAY")).otherwise(stamp)
+
+
+def decimal_key(lex: Column) -> Column:
+    """A text for each conforming integer or decimal that compares as its value does, however many digits it has: sign, number of
+    whole digits, digits; for negative numbers with each digit replaced by what it lacks to 9 and a closing sign above all."""
+    body = F.regexp_replace(lex, "^[+-]", "")
+    whole = F.regexp_replace(F.substring_index(body, ".", 1), "^0+", "")
+    rest = F.when(body.contains("."), F.regexp_replace(F.substring_index(body, ".", -1), "0+$", "")).otherwise("")
+    size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, F.lit("."), rest)
+    return F.when((whole == "") & (rest == ""), "1").when(lex.startswith("-"), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("2"), size))
+
+
+#: Texts of decimals that DECIMAL(38, 18) holds exactly.
+EXACT = r"^[+-]?0*[0-9]{0,20}(?:\.[0-9]{0,18}0*)?\z"
+
+
 def typed(lex: Column, col_type: str) -> Column:
     """The value of a conforming text, else null. Values beyond the Spark type's range are null as well.
 
-    integer DECIMAL(38,0), decimal DECIMAL(38,18), double DOUBLE, boolean BOOLEAN, date DATE (the zone is left out),
+    integer DECIMAL(38,0), decimal DECIMAL(38,18) (null where that would round), double DOUBLE, boolean BOOLEAN, date DATE (the zone is left out),
     datetime TIMESTAMP (UTC where there's no zone; fractions are cut to microseconds), string and iri STRING."""
     if col_type in ("string", "iri"):
         return lex
@@ -48,12 +69,11 @@ def typed(lex: Column, col_type: str) -> Column:
     elif col_type == "date":
         value = F.regexp_extract(lex, r"^(-?[0-9]+-[0-9]{2}-[0-9]{2})", 1).try_cast("date")
     elif col_type == "datetime":
-        midnight = lex.contains("T24:00:00")
-        text = F.regexp_replace(F.regexp_replace(lex, r"T24:00:00(?:\.0+)?", "T00:00:00"), r"(\.[0-9]{6})[0-9]+", "$1")
-        stamp = text.try_cast("timestamp")
-        value = F.when(midnight, stamp + F.expr("INTERVAL 1 DAY")).otherwise(stamp)
+        value = moment(lex)
+    elif col_type == "decimal":
+        value = F.when(lex.rlike(EXACT), lex.try_cast("decimal(38,18)"))
     else:
-        value = lex.try_cast({"integer": "decimal(38,0)", "decimal": "decimal(38,18)", "boolean": "boolean"}[col_type])
+        value = lex.try_cast({"integer": "decimal(38,0)", "boolean": "boolean"}[col_type])
     return F.when(ok, value)
 
 

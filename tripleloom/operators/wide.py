@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,11 @@ from tripleloom.runtime import broadcastable, fresh_path, stored
 
 #: Attributes are columns, so their number is bounded by what one table can have.
 MAX_ATTRIBUTES = 2_000
-RANGE = 1 << 15
+#: Subjects of a range: no more than 2^15, and as many ranges as this where there are fewer.
+MAX_RANGE_BITS = 15
+LEAST_RANGES = 32
+#: Cells of a range, filled or not: a task's memory.
+MAX_CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -32,14 +37,13 @@ def ordinals(keys: DataFrame, key: str) -> DataFrame:
     one count for each partition."""
     ranged = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
     placed = stored(ranged.select(key, F.monotonically_increasing_id().alias("place")), "ordinals")
-    part = F.shiftright("place", 33)
-    starts, total = {}, 0
-    for row in sorted(placed.groupBy(part.alias("part")).count().collect()):
-        starts[row["part"]] = total
-        total += row["count"]
-    if not starts:
-        return placed.select(key, F.col("place").alias("ordinal"))
-    start = F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v)))
+    part = F.shiftright("place", 33).cast("int")
+    held = {row["part"]: row["count"] for row in placed.groupBy(part.alias("part")).count().collect()}
+    starts, total = [], 0
+    for i in range(max(held, default=0) + 1):
+        starts.append(total)
+        total += held.get(i, 0)
+    start = F.array(*(F.lit(x).cast("long") for x in starts))
     return placed.select(key, (start[part] + F.col("place").bitwiseAND((1 << 33) - 1)).alias("ordinal"))
 
 
@@ -63,28 +67,25 @@ def attributes(attrs: DataFrame) -> list[Attribute]:
     return out
 
 
-def fitting_cells(triples: DataFrame, terms: DataFrame, attrs: DataFrame, names: list[Attribute]) -> DataFrame:
-    """s, slot (the attribute's place in ``names``), lex: the cells that have a fitting object, of several fitting texts
-    the smallest. White space at both ends of a text is removed first."""
-    index = {a.name: i for i, a in enumerate(names)}
-    slot = F.create_map(*(F.lit(x) for k, v in index.items() for x in (k, v)))
-    by_p = attrs.where(F.col("p").isNotNull() & F.col("attr").isNotNull()).select("p", slot[F.col("attr")].alias("slot")).distinct()
-    if broadcastable(by_p, 100_000):
-        by_p = F.broadcast(by_p)
-    facts = triples.select("s", "p", "o").where(F.col("s").isNotNull() & F.col("o").isNotNull()).join(by_p, "p").groupBy("s", "slot", "o").agg(F.lit(1).alias("one"))
-    lex = F.btrim("lex", F.lit(WHITE))
-    words = terms.select(F.col("id").alias("o"), "kind", lex.alias("lex")).where(F.col("lex").isNotNull())
-    fits = F.lit(False)
-    for i, a in enumerate(names):
-        literal = F.col("kind") == "L"
-        if a.col_type == "iri":
-            mine = F.col("kind").isin("I", "B")
-        elif a.col_type == "string":
-            mine = literal & (F.col("lex") != "")
-        else:
-            mine = literal & in_lexical_space(F.col("lex"), "dateTime" if a.col_type == "datetime" else a.col_type)
-        fits = F.when(F.col("slot") == i, mine).otherwise(fits)
-    return facts.join(words, "o").where(fits).groupBy("s", "slot").agg(F.min("lex").alias("lex"))
+def slots(attrs: DataFrame, names: list[Attribute]) -> DataFrame:
+    """p, slot (the attribute's place in ``names``), col_type: one row for each predicate of an attribute."""
+    spark = attrs.sparkSession
+    table = spark.createDataFrame([(a.name, i, a.col_type) for i, a in enumerate(names)], "attr string, slot int, col_type string")
+    by_p = attrs.where(F.col("p").isNotNull()).select("p", "attr").distinct().join(F.broadcast(table), "attr").select("p", "slot", "col_type")
+    return F.broadcast(by_p) if broadcastable(by_p, 100_000) else by_p
+
+
+def fitting_cells(triples: DataFrame, terms: DataFrame, by_p: DataFrame) -> DataFrame:
+    """s, slot, col_type, lex: the cells that have a fitting object, of several fitting texts the smallest. White space at both
+    ends of a text is removed first."""
+    facts = triples.select("s", "p", "o").where(F.col("s").isNotNull() & F.col("o").isNotNull()).join(by_p, "p").groupBy("s", "slot", "col_type", "o").agg(F.lit(1).alias("one"))
+    words = terms.select(F.col("id").alias("o"), "kind", F.btrim("lex", F.lit(WHITE)).alias("lex")).where(F.col("lex").isNotNull())
+    literal = F.col("kind") == "L"
+    fits = F.when(F.col("col_type") == "iri", F.col("kind").isin("I", "B")).when(F.col("col_type") == "string", literal & (F.col("lex") != ""))
+    for t in SPARK_TYPE:
+        if t not in ("iri", "string"):
+            fits = fits.when(F.col("col_type") == t, literal & in_lexical_space(F.col("lex"), "dateTime" if t == "datetime" else t))
+    return facts.join(words, "o").where(fits).groupBy("s", "slot", "col_type").agg(F.min("lex").alias("lex"))
 
 
 def wide_table(triples: DataFrame, terms: DataFrame, attrs: DataFrame) -> tuple[DataFrame, list[Attribute]]:
@@ -98,44 +99,43 @@ def wide_table(triples: DataFrame, terms: DataFrame, attrs: DataFrame) -> tuple[
     spark = triples.sparkSession
     names = attributes(attrs)
     subjects = ordinals(triples, "s")
-    rng, pos = F.shiftright("ordinal", 15), F.col("ordinal").bitwiseAND(RANGE - 1).cast("int")
     if not names:
         return subjects.select("s", F.array().cast("array<string>").alias("filled")), names
+    bits = min(MAX_RANGE_BITS, (MAX_CELLS // len(names)).bit_length() - 1, max(1, subjects.count() // LEAST_RANGES).bit_length())
+    rng, pos = F.shiftright("ordinal", bits).alias("rng"), F.col("ordinal").bitwiseAND((1 << bits) - 1).cast("int").alias("pos")
     types = sorted({a.col_type for a in names})
-    cells = fitting_cells(triples, terms, attrs, names).join(subjects, "s")
-    value = {t: F.when(F.col("slot").isin([i for i, a in enumerate(names) if a.col_type == t]), typed(F.col("lex"), t)) for t in types}
+    cells = fitting_cells(triples, terms, slots(attrs, names)).join(subjects, "s")
+    value = [F.when(F.col("col_type") == t, typed(F.col("lex"), t)).alias(f"v_{t}") for t in types]
+    # A column of each type; in it an attribute's values are together, by range and position.
     columns = fresh_path(spark, "columns")
-    cells.select(rng.alias("rng"), pos.alias("pos"), *(v.alias(f"v_{t}") for t, v in value.items()), "slot").repartition("rng").sortWithinPartitions("slot", "rng", "pos").write.partitionBy("slot").parquet(columns)
-    schema = "rng long, pos int, " + ", ".join(f"v_{t} {SPARK_TYPE[t]}" for t in types) + ", slot int"
-    read = spark.read.schema(schema).parquet(columns)
-    parts = read.withColumn("s", F.lit(None).cast("long")).unionByName(subjects.select(rng.alias("rng"), pos.alias("pos"), F.lit(-1).alias("slot"), "s"), allowMissingColumns=True)
-    n, kinds = len(names), [a.col_type for a in names]
-
-    def assemble(part: pa.Table) -> pa.Table:
-        slot = part["slot"].to_numpy()
-        place = part["pos"].to_numpy()
-        own = (slot == -1).nonzero()[0]
-        size = int(place[own].max()) + 1 if len(own) else 0
-        out, filled = [], []
-        at = _index(place[own], own, size)
-        out.append(part["s"].take(at).combine_chunks())
-        for i in range(n):
-            rows = (slot == i).nonzero()[0]
-            at = _index(place[rows], rows, size)
-            out.append(part[f"v_{kinds[i]}"].take(at).combine_chunks())
-            filled.append(at.is_valid())
-        flags = pa.array(list(map(bytes, zip(*(f.to_numpy(zero_copy_only=False).astype("u1").tolist() for f in filled)))), pa.binary())
-        return pa.table([*out, flags], names=["s", *(f"c{i}" for i in range(n)), "flags"])
-
-    made = parts.groupBy("rng").applyInArrow(assemble, "s long, " + ", ".join(f"c{i} {SPARK_TYPE[k]}" for i, k in enumerate(kinds)) + ", flags binary")
-    flags = [F.when(F.substring(F.hex("flags"), 2 * i + 1, 2) == "01", F.lit(a.name)) for i, a in enumerate(names)]
-    return made.select("s", *(F.col(f"c{i}").alias(a.column) for i, a in enumerate(names)), F.array_compact(F.array(*flags)).alias("filled")), names
-
-
-def _index(place, rows, size: int) -> pa.Array:
-    """For each position the row that holds its value, null for none."""
-    import numpy as np
-
-    at = np.full(size, -1, dtype=np.int64)
-    at[place] = rows
-    return pa.array(at, mask=at < 0)
+    cells.select(rng, pos, "slot", *value, "col_type").repartition("rng").sortWithinPartitions("col_type", "rng", "slot", "pos").write.partitionBy("col_type").parquet(columns)
+    schema = "rng long, pos int, slot int, " + ", ".join(f"v_{t} {SPARK_TYPE[t]}" for t in types)
+    read = spark.read.schema(schema).parquet(columns).select("rng", "pos", "slot", *(f"v_{t}" for t in types))
+    parts = read.withColumn("s", F.lit(None).cast("long")).unionByName(subjects.select(rng, pos, F.lit(-1).alias("slot"), "s"), allowMissingColumns=True)
+    made = parts.groupBy("rng").applyInArrow(_stitcher(names), "s long, " + ", ".join(f"c{i} {SPARK_TYPE[a.col_type]}" for i, a in enumerate(names)) + ", filled array<string>")
+    return made.select("s", *(F.col(f"c{i}").alias(a.column) for i, a in enumerate(names)), "filled"), names
+
+
+def _stitcher(names: list[Attribute]):
+    labels, kinds = [a.name for a in names], [a.col_type for a in names]
+
+    def stitch(part: pa.Table) -> pa.Table:
+        """The rows of a range: each attribute's values are laid down by their positions."""
+        order = np.argsort(part["slot"].to_numpy(), kind="stable")
+        slot, place = part["slot"].to_numpy()[order], part["pos"].to_numpy()[order]
+        edges = np.searchsorted(slot, np.arange(-1, len(names) + 1))
+        size = int(edges[1] - edges[0])  # positions of a range have no gaps
+        at = np.full((len(names) + 1, size), -1, dtype=np.int64)
+        at[slot + 1, place] = order
+        out = []
+        for i, values in enumerate([part["s"], *(part[f"v_{k}"] for k in kinds)]):
+            if edges[i] == edges[i + 1]:
+                out.append(pa.nulls(size, values.type))
+            else:
+                out.append(values.take(pa.array(at[i], mask=at[i] < 0)).combine_chunks())
+        row, which = np.nonzero((at[1:] >= 0).T)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=size))]).astype(np.int32)
+        filled = pa.ListArray.from_arrays(pa.array(ends), pa.array(labels, pa.string()).take(pa.array(which)))
+        return pa.table([*out, filled], names=["s", *(f"c{i}" for i in range(len(names))), "filled"])
+
+    return stitch
