@@ -31,9 +31,12 @@ def strict_load(lines: DataFrame, offset: str = "line_id", text: str = "stmt") -
     raw = spread(lines.select(F.col(f"`{offset}`").alias("_offset"), F.col(f"`{text}`").alias("_text"))).where(~F.col("_text").rlike(NO_STATEMENT))
     rows = parsed(raw, "_text", ["_offset", "_text"]).where(F.col("well_formed") & value_fits(F.col("o_lex"), F.col("o_dt")))
     valid = rows.select(F.col("_offset").alias(offset), "s_kind", "s_lex", "p_lex", "o_kind", "o_lex", "o_lang", "o_dt")
-    #: Only offsets and a hash of the text are shuffled for the loaded side.
+    # Offsets and hashes of the texts are all that is subtracted; the few texts left are fetched by a semi-join, for which Spark
+    # broadcasts what is left, or a filter of it, as its size allows.
+    keys = raw.select(F.col("_offset").alias("_key"), F.xxhash64("_text").alias("_mine"))
     done = rows.select(F.col("_offset").alias("_done"), F.xxhash64("_text").alias("_hash"))
-    rest = raw.withColumn("_mine", F.xxhash64("_text")).join(done, F.col("_offset").eqNullSafe(F.col("_done")) & (F.col("_mine") == F.col("_hash")), "left_anti")
+    left = keys.join(done, F.col("_key").eqNullSafe(F.col("_done")) & (F.col("_mine") == F.col("_hash")), "left_anti")
+    rest = raw.join(left, F.col("_offset").eqNullSafe(F.col("_key")) & (F.xxhash64("_text") == F.col("_mine")), "left_semi")
     again = parsed(rest, "_text", ["_offset", "_text"])
     failed = again.select(F.col("_offset").alias(offset), F.col("_text").alias(text), reason(F.col("_text"), F.col("o_lex"), F.col("o_dt"), F.col("well_formed")).alias("reason"))
     return Loaded(valid, failed)

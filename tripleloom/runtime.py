@@ -7,7 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 _local_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, from ``spark.checkpoint.dir``; only where that is unset (tests) one of our own."""
+    ready(spark)
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
@@ -30,13 +33,40 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the work folder; what is written there is removed when the driver ends."""
+def ready(spark: SparkSession) -> None:
+    """Tells Python workers where this package is, as they import its functions by name. Every operator does so before it makes
+    any; where the package is installed, it changes nothing."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes what is written to the work folder within the block when it ends. Results must have been used up or written
+    elsewhere by then."""
+    n = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[n:]:
+            delete(spark, path)
+        del _written[n:]
+
+
+def fresh_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path under the work folder; what is written there is removed when the driver ends, or, unless ``keep``, with its
+    ``scratch`` block."""
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
+    (_kept if keep else _written).append((spark, path))
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a path of any Hadoop file system, if it is there."""
     jvm = spark.sparkContext._jvm
@@ -46,7 +76,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path in [*_written, *_kept]:
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended, nothing more can be done
@@ -68,19 +98,18 @@ def broadcastable(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def spread(df: DataFrame, small_bytes: int = 12 << 20) -> DataFrame:
-    """Spreads a small input over all cores before costly work on each row: its files may be too few to keep them busy.
-    Larger inputs, by the whole size of what is read, come in enough splits and aren't shuffled."""
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input over all cores before costly work on each row where Spark would plan fewer splits than there are cores,
+    as it does below its cost of opening a file for each core. Larger inputs aren't shuffled."""
+    ready(df.sparkSession)
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if size > small_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    opening = df.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    return df.repartition(cores) if size < cores * opening else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables. Python workers get this package's place, as they import functions by name."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
+    """One of the driver's tables."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
