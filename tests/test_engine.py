@@ -232,3 +232,86 @@ def test_many_patterns_are_planned_greedily(spark):
 def test_variables_of_hidden_nodes_stay_hidden():
     assert all(not v.hidden for v in parse("SELECT * WHERE { [] <p> ?x }").select)
     assert parse("SELECT * WHERE { [] <p> ?x }").select == [Var("x")]
+
+
+@pytest.mark.parametrize(
+    "condition,names",
+    [("?n > 0", "abd"), ("?n = 0", "c"), ("?n = 0.00000000001", "ab"), ("?n < 0.000000000011", "abce"), ("?n >= 12345678901234567890123456789012345678901234567890.5", "d"), ("?n > 12345678901234567890123456789012345678901234567890.25", "d"), ("-1 < ?n", "abcd"), ("?n < -2.99999999999999999999", "e"), ("?n = -3", "e"), ("?n * 2 = 0.00000000002", "ab"), ("?n + ?n = 0.00000000002", "ab")],
+)
+def test_decimals_are_exact(spark, condition, names):
+    values = {"a": "0.00000000001", "b": "000.000000000010", "c": "0.0", "d": "12345678901234567890123456789012345678901234567890.5", "e": "-3.0"}
+    store = store_of(spark, [(f"h:{k}", "h:n", num(v, "decimal")) for k, v in values.items()])
+    assert "".join(r[0][-1] for r in ask(store, f"SELECT ?s WHERE {{ ?s <h:n> ?n . FILTER ({condition}) }}")) == names
+
+
+def test_decimal_keys_order_as_values(spark):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from tripleloom.functions.xsd import decimal_key
+
+    rng = random.Random(5)
+    texts = ["0", "-0.0", "+5", "05.50", ".5", "5.", "-.5", "1" * 60, "-" + "9" * 60 + ".1"] + [f"{rng.choice(['', '-', '+'])}{rng.choice(['', '0', '00'])}{rng.randrange(10 ** rng.randrange(1, 25))}{rng.choice(['', '.', f'.{rng.randrange(1000):03d}00'])}" for _ in range(200)]
+    keys = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", decimal_key(F.col("t")).alias("k")).collect()}
+    for a in texts[:60]:
+        for b in texts:
+            x, y = Decimal(a), Decimal(b)
+            assert ((keys[a] < keys[b]), (keys[a] == keys[b])) == (x < y, x == y), (a, b)
+
+
+def test_the_end_of_a_day_is_the_next_one(spark):
+    store = store_of(spark, [("h:a", "h:t", num("2024-02-28T24:00:00Z", "dateTime")), ("h:b", "h:t", num("2024-02-29T00:00:00", "dateTime")), ("h:c", "h:t", num("2024-02-29T24:00:00.0+01:00", "dateTime"))])
+    assert ask(store, f"SELECT ?s WHERE {{ ?s <h:t> ?t . FILTER (?t = '2024-02-29T00:00:00'^^<{XSD}dateTime>) }}") == [("h:a",), ("h:b",)]
+    assert ask(store, f"SELECT ?s WHERE {{ ?s <h:t> ?t . FILTER (?t > '2024-02-29T22:59:59'^^<{XSD}dateTime>) }}") == [("h:c",)]
+
+
+def compatible(a, b):
+    return all(a[k] is None or b[k] is None or a[k] == b[k] for k in a.keys() & b.keys())
+
+
+def merged(a, b):
+    return {k: a.get(k) if a.get(k) is not None else b.get(k) for k in a.keys() | b.keys()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joins_of_variables_that_may_be_unbound(spark, seed):
+    """Left and inner joins with both sides unbound in places, against solutions joined one by one."""
+    rng = random.Random(seed)
+    facts = sorted({(f"h:{rng.randrange(5)}", f"h:{p}", f"h:{rng.randrange(4)}") for p in "pqrst" for _ in range(7)})
+    store = store_of(spark, facts).frozen()
+    of = lambda p, s, o: [{s: a, o: b} for a, q, b in facts if q == f"h:{p}"]
+
+    def left(a, b):
+        out = []
+        for x in a:
+            got = [merged(x, y) for y in b if compatible(x, y)]
+            out += got or [{**dict.fromkeys(k for y in b for k in y), **x}]
+        return out
+
+    one = left(left(of("p", "x", "y"), of("q", "x", "l")), of("r", "y", "l"))
+    text = "{ ?x <h:p> ?y . OPTIONAL { ?x <h:q> ?l } OPTIONAL { ?y <h:r> ?l } }"
+    want = sorted(((s["x"], s["y"], s.get("l")) for s in one), key=repr)
+    assert ask(store, f"SELECT ?x ?y ?l WHERE {text}") == want
+    other = left(of("s", "z", "w"), of("t", "z", "l"))
+    both = [merged(a, b) for a in one for b in other if compatible(a, b)]
+    assert ask(store, f"SELECT ?x ?y ?l ?z ?w WHERE {{ {{ {text[1:-1]} }} {{ ?z <h:s> ?w . OPTIONAL {{ ?z <h:t> ?l }} }} }}") == sorted(((s["x"], s["y"], s.get("l"), s["z"], s["w"]) for s in both), key=repr)
+    deep = left(one, other)
+    assert ask(store, f"SELECT ?x ?y ?l ?z ?w WHERE {{ {text[1:-1]} OPTIONAL {{ ?z <h:s> ?w . OPTIONAL {{ ?z <h:t> ?l }} }} }}") == sorted(((s["x"], s["y"], s.get("l"), s.get("z"), s.get("w")) for s in deep), key=repr)
+
+
+def test_joins_of_loose_variables_are_equi_joins(social):
+    df = Engine(social).query("SELECT ?x ?y ?l WHERE { ?x <h:knows> ?y . OPTIONAL { ?x <h:name> ?l } OPTIONAL { ?y <h:name> ?l } }", "ids")
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planner_counts_bound_patterns(spark):
+    from tripleloom.plans.stats import exact_counts
+
+    facts = [(f"h:{i}", "h:p", "h:hot" if i % 3 else f"h:o{i}") for i in range(60)] + [(f"h:{i}", "h:q", f"h:{i}") for i in range(60)]
+    store = analyse(store_of(spark, facts).frozen())
+    patterns = parse("SELECT ?x WHERE { ?x <h:p> <h:hot> . ?x <h:q> ?y . <h:3> ?z ?y }").where.patterns
+    counts = exact_counts(store, patterns)
+    assert sorted(counts.values()) == [2.0, 40.0]
+    est = estimates(store, patterns)
+    assert [est.card(p) for p in patterns] == [40.0, 60.0, 2.0]

@@ -53,7 +53,7 @@ def test_result_sink(spark, folder, tmp_path):
 
 def test_save_and_load(spark, folder, tmp_path):
     store = analyse(load(spark, f"file://{folder}").frozen())
-    saved = store.save(f"file://{tmp_path}/store", files=2)
+    saved = store.save(f"file://{tmp_path}/store", buckets=2)
     assert saved.by_object.count() == 8 and saved.predicate_stats.count() == 3 and saved.summary is None
     for q in ("SELECT ?s WHERE { ?s <h:p> <h:b> }", "SELECT ?o WHERE { <h:a> <h:n> ?o }"):
         assert sorted(map(tuple, Engine(saved).query(q).collect())) == sorted(map(tuple, Engine(store).query(q).collect()))
@@ -107,3 +107,67 @@ def test_streaming_ingest(spark, folder, tmp_path):
     run()
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 8
     assert spark.read.parquet(f"file://{tmp_path}/f").count() == 2
+
+
+def test_compressed_files_and_what_is_skipped(spark, tmp_path):
+    import bz2
+    import gzip
+
+    (tmp_path / "a.nt.gz").write_bytes(gzip.compress(FACTS.encode()))
+    (tmp_path / "b.nt.bz2").write_bytes(bz2.compress(b"<h:z> <h:p> <h:z> .\nbroken again\n"))
+    (tmp_path / "c.ttl.gz").write_bytes(gzip.compress(b"@prefix h: <h:> .\nh:y h:p h:y .\nh:y nope:p h:y .\n"))
+    store = load(spark, f"file://{tmp_path}")
+    assert store.triples.count() == 9
+    rows = sorted((r["file_name"].rsplit("/", 1)[1], r["reason"]) for r in store.skipped.collect())
+    assert [r[0] for r in rows] == ["a.nt.gz", "b.nt.bz2", "c.ttl.gz"] and all(r[1] for r in rows)
+    assert load(spark, f"file://{tmp_path}/a.nt.gz").skipped.count() == 1
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, monkeypatch):
+    n = 20_000
+    (tmp_path / "terms.txt").write_text("\n".join(f"h:{i}" for i in range(n)) + "\n")
+    (tmp_path / "parts.txt").write_text("\n".join(str(i % 7) if i % 5 else "" for i in range(n)) + "\n")
+    store = TripleStore.from_terms(spark.range(n).selectExpr("struct('I' kind, concat('h:', id) lex, '' lang, '' dt) s", "struct('I' kind, 'h:p' lex, '' lang, '' dt) p", "struct('L' kind, 'x' lex, '' lang, '' dt) o")).frozen()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        parts = file_parts(store, f"file://{tmp_path}/parts.txt", f"file://{tmp_path}/terms.txt")
+        got = {r["lex"]: r["part"] for r in parts.join(store.terms, "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"h:{i}": i % 7 for i in range(n) if i % 5}
+
+
+def test_large_turtle_files_are_refused(spark, tmp_path, monkeypatch):
+    from tripleloom.sources import turtle
+
+    (tmp_path / "a.ttl").write_text("<h:a> <h:b> <h:c> .")
+    monkeypatch.setattr(turtle, "MAX_BYTES", 5)
+    with pytest.raises(ValueError, match="a.ttl"):
+        turtle.read_turtle(spark, f"file://{tmp_path}")
+
+
+def test_saved_layouts_join_without_exchange(spark, tmp_path):
+    store = TripleStore.from_terms(spark.range(3000).selectExpr("struct('I' kind, concat('h:', id) lex, '' lang, '' dt) s", "struct('I' kind, concat('h:p', id % 2) lex, '' lang, '' dt) p", "struct('I' kind, concat('h:', id % 40) lex, '' lang, '' dt) o")).frozen()
+    saved = analyse(store).save(f"file://{tmp_path}/store", buckets=4)
+    again = TripleStore.load(spark, f"file://{tmp_path}/store")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for s in (saved, again):
+            df = Engine(s).query("SELECT ?a ?b ?c WHERE { ?a <h:p0> ?b . ?a <h:p1> ?c }", "ids")
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_hot_keys_are_in_ranges(spark, tmp_path):
+    store = TripleStore.from_terms(spark.range(2000).selectExpr("struct('I' kind, if(id % 3 = 0, 'h:hot', concat('h:', id)) lex, '' lang, '' dt) s", "struct('I' kind, 'h:p' lex, '' lang, '' dt) p", "struct('I' kind, concat('h:', id) lex, '' lang, '' dt) o")).frozen()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store.save(f"file://{tmp_path}/store", buckets=16)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    about = spark.read.parquet(f"file://{tmp_path}/store/about").first()
+    assert (about["by_subject"], about["by_object"], about["terms"]) == (0, 16, 16)
+    assert len(spark.read.parquet(f"file://{tmp_path}/store/by_subject").where(f"s = {store.triples.groupBy('s').count().orderBy('count', ascending=False).first()[0]}").selectExpr("_metadata.file_path").distinct().collect()) > 1

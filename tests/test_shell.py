@@ -17,7 +17,7 @@ def test_queries_faults_and_plans(spark, monkeypatch, capsys, tmp_path):
     lines = out.out.splitlines()
     assert sorted(lines[:2]) == ["h:a|x", "h:b|"]
     assert any(line.startswith("scan ?x <h:p> ?y") for line in lines) and "never" not in out.out
-    assert "error:" in out.err and "3 facts" in out.err
+    assert "error:" in out.err and "3 facts" in out.err and "0 statements skipped" in out.err
 
 
 def test_silent_and_summary(spark, monkeypatch, capsys, tmp_path):

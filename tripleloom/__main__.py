@@ -18,6 +18,10 @@ from tripleloom.plans.summary import file_parts, hash_parts, summary_edges
 from tripleloom.sources.files import load
 
 
+#: Skipped statements that are shown; all are counted.
+SHOWN = 20
+
+
 def main(argv: list[str] | None = None) -> int:
     args = argparse.ArgumentParser(prog="tripleloom")
     args.add_argument("path")
@@ -30,12 +34,16 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tripleloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     started = time.time()
     store = load(spark, opts.path).frozen()
+    skipped = store.skipped
     if opts.summary:
         parts = file_parts(store, opts.parts, opts.dict) if opts.parts and opts.dict else hash_parts(store, opts.hash_parts)
         store = store.with_parts(parts).frozen()
         store.summary = summary_edges(store)
     engine = Engine(analyse(store), summary=opts.summary)
     print(f"{store.triples.count()} facts in {time.time() - started:.1f} s", file=sys.stderr)
+    for row in skipped.limit(SHOWN).collect():
+        print(f"skipped: {row['file_name']}: {row['reason']}: {row['stmt'][:200]}", file=sys.stderr)
+    print(f"{skipped.count()} statements skipped", file=sys.stderr)
     for line in sys.stdin:
         line = line.strip()
         if line in ("quit", r"\q"):

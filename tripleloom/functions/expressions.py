@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripleloom.functions.terms import Value
-from tripleloom.functions.xsd import XSD
+from tripleloom.functions.xsd import XSD, decimal_key
 from tripleloom.plans.algebra import Call, Term, Var
 
 RDF_LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
@@ -86,27 +86,29 @@ class Expressions:
 
     def _at_most(self, a, b) -> Value:
         x, y = self.value(a), self.value(b)
-        both = F.coalesce(x.exact <= y.exact, x._ieee(y, lambda m, n: m <= n), x.moment <= y.moment, x.flag <= y.flag, x.text <= y.text)
+        both = F.coalesce(x.exact <= y.exact, x.digits <= y.digits, x._ieee(y, lambda m, n: m <= n), x.moment <= y.moment, x.flag <= y.flag, x.text <= y.text)
         return Value.of_flag(both)
 
     def _at_least(self, a, b) -> Value:
         return self._at_most(b, a)
 
-    def _arithmetic(self, a, b, op) -> Value:
+    def _arithmetic(self, a, b, op, kind: str) -> Value:
+        """Exact where both operands fit the type in which the result doesn't round, else by doubles."""
         x, y = self.value(a), self.value(b)
-        return Value.of_number(op(x.number, y.number), op(x.exact, y.exact))
+        fits = [F.when(v.exact.try_cast(kind) == v.exact, v.exact.try_cast(kind)) for v in (x, y)]
+        return Value.of_number(op(x.number, y.number), op(*fits))
 
     def _plus(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_add)
+        return self._arithmetic(a, b, F.try_add, "decimal(37,18)")
 
     def _minus(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_subtract)
+        return self._arithmetic(a, b, F.try_subtract, "decimal(37,18)")
 
     def _times(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_multiply)
+        return self._arithmetic(a, b, F.try_multiply, "decimal(18,9)")
 
     def _divided(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_divide)
+        return self._arithmetic(a, b, F.try_divide, "decimal(18,9)")
 
     def _positive(self, a) -> Value:
         v = self.value(a)
@@ -114,7 +116,8 @@ class Expressions:
 
     def _negative(self, a) -> Value:
         v = self.value(a)
-        return Value.of_number(-v.number, -v.exact)
+        turned = F.when(v.lex.startswith("-"), F.substring(v.lex, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), F.regexp_replace(v.lex, r"^\+", "")))
+        return replace(Value.of_number(-v.number, -v.exact), digits=F.when(v.digits.isNotNull(), decimal_key(turned)))
 
     def _str(self, a) -> Value:
         v = self.value(a)

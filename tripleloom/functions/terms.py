@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripleloom.functions.xsd import LEXICAL, XSD
+from tripleloom.functions.xsd import EXACT, LEXICAL, XSD, decimal_key
+from tripleloom.functions.xsd import moment as moment_of
 
 #: Datatypes whose values are whole numbers, all subtypes of decimal.
 INTEGERS = ["integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte"]
@@ -31,14 +32,15 @@ def _xsd(*names: str) -> list[str]:
 class Value:
     """An expression's value as columns, each null where the value isn't of that kind; all null: an error (or unbound).
 
-    exact holds integers and decimals, number all numerics, flag booleans, moment dateTimes, text plain strings. A term
-    also has kind, lex, lang and dt."""
+    exact holds the integers and decimals that fit DECIMAL(38, 18), digits all of them (a text that compares as they do),
+    number all numerics, flag booleans, moment dateTimes, text plain strings. A term also has kind, lex, lang and dt."""
 
     kind: Column
     lex: Column
     lang: Column
     dt: Column
     exact: Column
+    digits: Column
     number: Column
     flag: Column
     moment: Column
@@ -52,25 +54,26 @@ class Value:
         whole = literal & dt.isin(_xsd(*INTEGERS)) & lex.rlike(LEXICAL["integer"])
         decimal = literal & (dt == XSD + "decimal") & lex.rlike(LEXICAL["decimal"])
         double = literal & dt.isin(_xsd("double", "float")) & lex.rlike(LEXICAL["double"])
-        exact = F.when(whole | decimal, lex.try_cast("decimal(38,10)"))
+        exact = F.when((whole | decimal) & lex.rlike(EXACT), lex.try_cast("decimal(38,18)"))
+        digits = F.when(whole | decimal, decimal_key(lex))
         special = F.when(lex == "NaN", F.lit(float("nan"))).when(lex.endswith("INF"), F.when(lex.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
         number = F.when(whole | decimal, lex.try_cast("double")).when(double, F.coalesce(special, lex.try_cast("double")))
         flag = F.when(literal & (dt == XSD + "boolean"), F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False))
-        moment = F.when(literal & (dt == XSD + "dateTime") & lex.rlike(LEXICAL["dateTime"]), F.regexp_replace(lex, r"(\.[0-9]{6})[0-9]+", "$1").try_cast("timestamp"))
+        moment = F.when(literal & (dt == XSD + "dateTime") & lex.rlike(LEXICAL["dateTime"]), moment_of(lex))
         text = F.when(literal & lang.isNull() & (dt.isNull() | (dt == XSD + "string")), lex)
-        return Value(kind, lex, lang, dt, exact, number, flag, moment, text)
+        return Value(kind, lex, lang, dt, exact, digits, number, flag, moment, text)
 
     @staticmethod
     def _literal(**known: Column) -> Value:
-        none = {"exact": "decimal(38,10)", "number": "double", "flag": "boolean", "moment": "timestamp", "text": "string", "lex": "string", "lang": "string", "dt": "string"}
+        none = {"exact": "decimal(38,18)", "digits": "string", "number": "double", "flag": "boolean", "moment": "timestamp", "text": "string", "lex": "string", "lang": "string", "dt": "string"}
         got = {k: known[k] if k in known else F.lit(None).cast(t) for k, t in none.items()}
         return Value(kind=F.when(got["lex"].isNotNull(), F.lit("L")), **got)
 
     @staticmethod
     def of_number(number: Column, exact: Column | None = None) -> Value:
-        exact = F.lit(None).cast("decimal(38,10)") if exact is None else exact.try_cast("decimal(38,10)")
+        exact = F.lit(None).cast("decimal(38,18)") if exact is None else exact.try_cast("decimal(38,18)")
         lex = F.coalesce(F.regexp_replace(exact.cast("string"), r"\.?0+$", ""), number.cast("string"))
-        return Value._literal(number=number, exact=exact, lex=lex, dt=F.when(exact.isNotNull(), F.lit(XSD + "decimal")).when(number.isNotNull(), F.lit(XSD + "double")))
+        return Value._literal(number=number, exact=exact, digits=decimal_key(exact.cast("string")), lex=lex, dt=F.when(exact.isNotNull(), F.lit(XSD + "decimal")).when(number.isNotNull(), F.lit(XSD + "double")))
 
     @staticmethod
     def of_flag(flag: Column) -> Value:
@@ -83,7 +86,7 @@ class Value:
     @staticmethod
     def of_iri(lex: Column) -> Value:
         v = Value._literal(lex=lex)
-        return Value(F.when(lex.isNotNull(), F.lit("I")), *(getattr(v, n) for n in ("lex", "lang", "dt", "exact", "number", "flag", "moment", "text")))
+        return Value(F.when(lex.isNotNull(), F.lit("I")), *(getattr(v, n) for n in ("lex", "lang", "dt", "exact", "digits", "number", "flag", "moment", "text")))
 
     def truth(self) -> Column:
         """Effective boolean value; null is an error."""
@@ -96,7 +99,7 @@ class Value:
         return (self.kind == other.kind) & (self.lex == other.lex) & (F.lower(part(self.lang)) == F.lower(part(other.lang))) & (plain(self.dt) == plain(other.dt))
 
     def equals(self, other: Value) -> Column:
-        return F.coalesce(self.exact == other.exact, self._ieee(other, lambda a, b: a == b), self.moment == other.moment, self.flag == other.flag, self.same(other))
+        return F.coalesce(self.exact == other.exact, self.digits == other.digits, self._ieee(other, lambda a, b: a == b), self.moment == other.moment, self.flag == other.flag, self.same(other))
 
     def _ieee(self, other: Value, test) -> Column:
         """Numbers compared as IEEE has it, where NaN is neither equal to nor less than anything."""
@@ -104,9 +107,9 @@ class Value:
         return F.when(a.isNotNull() & b.isNotNull(), ~F.isnan(a) & ~F.isnan(b) & test(a, b))
 
     def less(self, other: Value) -> Column:
-        return F.coalesce(self.exact < other.exact, self._ieee(other, lambda a, b: a < b), self.moment < other.moment, self.flag < other.flag, self.text < other.text)
+        return F.coalesce(self.exact < other.exact, self.digits < other.digits, self._ieee(other, lambda a, b: a < b), self.moment < other.moment, self.flag < other.flag, self.text < other.text)
 
     def sort_key(self) -> list[Column]:
         """SPARQL order: unbound, blank nodes, IRIs, literals; numbers by value before the other literals, these by text."""
         rank = F.when(self.kind.isNull(), 0).when(self.kind == "B", 1).when(self.kind == "I", 2).when(self.number.isNotNull(), 3).otherwise(4)
-        return [rank, self.number, self.moment, self.lex, F.coalesce(self.lang, F.lit("")), F.coalesce(self.dt, F.lit(""))]
+        return [rank, self.number, self.digits, self.moment, self.lex, F.coalesce(self.lang, F.lit("")), F.coalesce(self.dt, F.lit(""))]

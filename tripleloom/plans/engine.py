@@ -16,6 +16,7 @@ from tripleloom.plans.algebra import Group, Pattern, Query, TableCall, Term, Var
 from tripleloom.plans.parser import SparqlError, parse
 from tripleloom.plans.stats import Estimates, estimates
 from tripleloom.plans.summary import candidates, kept_share, prune_all
+from tripleloom.runtime import ready, stored
 from tripleloom.store import TripleStore
 
 
@@ -44,6 +45,7 @@ class Engine:
     only the distinct values of the variables that are used elsewhere."""
 
     def __init__(self, store: TripleStore, summary: bool = False, prune_unused: bool = True):
+        ready(store.spark)
         self.store, self.summary, self.prune_unused = store, summary, prune_unused
         self.functions: dict[str, UserFunction] = {}
         self.tables: dict[str, TableFunction] = {}
@@ -228,36 +230,49 @@ class _Run:
         out = df.select(*(F.col(c).alias(self.v(v)) for v, c in used.items()))
         return Rows(out.distinct() if len(used) < len(columns) else out, list(used))
 
-    def join(self, a: Rows, b: Rows, how: str, condition: Callable[[Rows], Column] | None = None) -> Rows:
+    def join(self, a: Rows, b: Rows, how: str) -> Rows:
         """On all shared variables. Where one of them may be unbound, unbound is compatible with anything."""
         shared = [v for v in a.variables if v in b.variables]
-        variables = a.variables + [v for v in b.variables if v not in shared]
-        loose = (a.loose - set(shared)) | (b.loose - set(shared)) | (a.loose & b.loose & set(shared))
-        twice = [self.t(v) for v in shared if v in a.terms and v in b.terms]
-        right = b.df.drop(*twice)
-        terms = a.terms | b.terms
         soft = [v for v in shared if v in a.loose or v in b.loose]
+        if soft:
+            return self.soft_join(a, b, how, shared, soft)
+        variables = a.variables + [v for v in b.variables if v not in shared]
+        right = b.df.drop(*(self.t(v) for v in shared if v in a.terms and v in b.terms))
         if not shared:
             df = a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
-        elif not soft:
-            df = a.df.join(right, [self.v(v) for v in shared], how)
         else:
-            names = {self.v(v): f"r_{self.v(v)}" for v in shared}
-            extra = {self.t(v): f"r_{self.t(v)}" for v in shared if v in b.terms and v not in a.terms}
-            right = right.withColumnsRenamed({**names, **extra})
-            on = F.lit(True)
-            for v in shared:
-                l, r = F.col(self.v(v)), F.col(names[self.v(v)])
-                on = on & ((l == r) | l.isNull() | r.isNull() if v in soft else l == r)
-            df = a.df.join(right, on, how)
-            keep = [F.coalesce(self.v(v), names[self.v(v)]).alias(self.v(v)) for v in shared]
-            others = [c for c in df.columns if c not in names and c not in names.values()]
-            df = df.select(*keep, *others).drop(*extra.values())
-            terms = {v for v in terms if v not in soft or v not in shared}
-            df = df.drop(*(self.t(v) for v in soft))
-        if how == "left":
-            loose = a.loose | {v for v in b.variables if v not in a.variables}
-        return Rows(df, variables, loose, terms)
+            df = a.df.join(right, [self.v(v) for v in shared], how)
+        loose = a.loose | ({v for v in b.variables if v not in a.variables} if how == "left" else b.loose)
+        return Rows(df, variables, loose, a.terms | b.terms)
+
+    def soft_join(self, a: Rows, b: Rows, how: str, shared: list[Var], soft: list[Var]) -> Rows:
+        """A join on variables that may be unbound: for each choice of the variables that are unbound on either side, an equi-join
+        on those that are bound on both; a row of each side is in one choice, so that the joins add up."""
+        mine, theirs = ([v for v in soft if v in side.loose] for side in (a, b))
+        if how == "left" and theirs:
+            return self.left_by_rows(a, b, [])
+        both_terms = {v for v in shared if v not in soft and v in a.terms}
+        left = a.df.drop(*(self.t(v) for v in soft if v in a.terms))
+        right = b.df.drop(*(self.t(v) for v in shared if v in b.terms and (v in soft or v in both_terms)))
+        names = {self.v(v): f"r_{self.v(v)}" for v in shared}
+        right = right.withColumnsRenamed(names)
+        others = [c for c in [*left.columns, *right.columns] if c not in names and c not in names.values()]
+        parts = []
+        for unbound in _subsets(mine):
+            here = _chosen(left, [self.v(v) for v in mine], [self.v(v) for v in unbound])
+            for missing in _subsets(theirs):
+                there = _chosen(right, [names[self.v(v)] for v in theirs], [names[self.v(v)] for v in missing])
+                keys = [self.v(v) for v in shared if v not in unbound and v not in missing]
+                on = reduce(lambda x, y: x & y, (F.col(k) == F.col(names[k]) for k in keys)) if keys else None
+                if on is not None:
+                    df = here.join(there, on, how)
+                else:
+                    df = here.crossJoin(there) if how == "inner" else here.join(there, F.lit(True), how)
+                parts.append(df.select(*(F.coalesce(c, r).alias(c) for c, r in names.items()), *others))
+        variables = a.variables + [v for v in b.variables if v not in shared]
+        new = {v for v in b.variables if v not in a.variables}
+        loose = a.loose | new if how == "left" else (a.loose - set(shared)) | (b.loose - set(shared)) | (a.loose & b.loose & set(shared))
+        return Rows(reduce(DataFrame.unionByName, parts), variables, loose, {v for v in a.terms | b.terms if v not in soft})
 
     def optional(self, rows: Rows, g: Group) -> Rows:
         """A left join; filters of the optional group belong to its condition and see the variables of both sides."""
@@ -265,20 +280,24 @@ class _Run:
         outer_only = [f for f in g.filters if not variables_of(f) <= set(inner.variables())]
         inner.filters = [f for f in g.filters if f not in outer_only]
         right = self.group(inner)
-        if not outer_only:
-            return self.join(rows, right, "left")
-        row = "row_" + str(len(self.number))
-        tagged = Rows(rows.df.withColumn(row, F.monotonically_increasing_id()), rows.variables, rows.loose, rows.terms)
-        from tripleloom.runtime import stored
+        return self.left_by_rows(rows, right, outer_only) if outer_only else self.join(rows, right, "left")
 
-        tagged.df = stored(tagged.df, "left")  # the row numbers must be the same on both sides
+    def left_by_rows(self, rows: Rows, right: Rows, conditions: list[object]) -> Rows:
+        """A left join by numbered rows: what joins and meets the conditions, and the rows of which nothing does."""
+        row = "row_" + str(len(self.number))
+        # The row numbers must be the same on both sides.
+        tagged = Rows(stored(rows.df.withColumn(row, F.monotonically_increasing_id()), "left"), rows.variables, rows.loose, rows.terms)
         both = self.join(tagged, right, "inner")
-        for f in outer_only:
+        for f in conditions:
             both = self.filtered(both, f)
-        new = [v for v in both.variables if v not in rows.variables]
-        extra = [self.v(v) for v in new] + [self.t(v) for v in new if v in both.terms]
-        df = tagged.df.join(both.df.select(row, *extra), row, "left").drop(row)
-        return Rows(df, [*rows.variables, *new], rows.loose | set(new), rows.terms | {v for v in new if v in both.terms})
+        # Variables that were unbound may have got a value, so all come from the joined side.
+        kept = [*dict.fromkeys([*rows.variables, *both.variables])]
+        carried = [v for v in kept if v in both.terms]
+        lone = self.with_terms(tagged, [v for v in carried if v in rows.variables])
+        lone_df = lone.df.join(both.df.select(row), row, "left_anti")
+        columns = [*(self.v(v) for v in kept), *(self.t(v) for v in carried)]
+        df = both.df.select(*columns).unionByName(lone_df.select(*(c for c in columns if c in lone_df.columns)), allowMissingColumns=True)
+        return Rows(df, kept, rows.loose | {v for v in kept if v not in rows.variables}, set(carried))
 
     def union(self, branches: list[Rows]) -> Rows:
         every = list(dict.fromkeys(v for b in branches for v in b.variables))
@@ -305,7 +324,7 @@ class _Run:
         variables, terms, known = list(rows.variables), set(rows.terms), []
         for var, cell, kind in zip(t.outputs, cells, f.gives):
             whole = cell.try_cast("bigint") == cell if kind == "number" else None
-            value = Value.of_number(cell.cast("double"), cell.cast("decimal(38,10)")) if kind == "number" else Value.of_text(cell.cast("string"))
+            value = Value.of_number(cell.cast("double"), cell.try_cast("decimal(38,18)")) if kind == "number" else Value.of_text(cell.cast("string"))
             dt = F.when(whole, F.lit("http://www.w3.org/2001/XMLSchema#integer")).otherwise(value.dt) if kind == "number" else value.dt
             parts = (F.lit("L"), value.lex, F.lit(None).cast("string"), dt)
             term = F.struct(*(x.alias(n) for x, n in zip(parts, TERM_FIELDS)))
@@ -345,6 +364,17 @@ def _uses(g: Group, out: dict[Var, int]) -> None:
         _uses(inner, out)
 
 
+def _subsets(items: list) -> list[list]:
+    return [[x for i, x in enumerate(items) if n >> i & 1] for n in range(1 << len(items))]
+
+
+def _chosen(df: DataFrame, columns: list[str], unbound: list[str]) -> DataFrame:
+    """The rows in which, of the columns, just ``unbound`` are null."""
+    for c in columns:
+        df = df.where(F.col(c).isNull() if c in unbound else F.col(c).isNotNull())
+    return df
+
+
 def _unique(names: list[str]) -> list[str]:
     """Column names that also differ without case."""
     taken: set[str] = set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.plans.algebra import Pattern, Term, Var
@@ -80,24 +80,62 @@ class Estimates:
         return 1.0 / max(10.0, min(self.card(a), self.card(b)))
 
 
+#: Statistics of up to so many predicates and pairs of them are kept by the driver; of more, only those a query asks for are read.
+MAX_PREDICATES = 10_000
+MAX_PAIRS = 100_000
+
+
+def _kept(store: TripleStore, name: str, make):
+    if name not in store.known:
+        store.known[name] = make()
+    return store.known[name]
+
+
+def _rows(store: TripleStore, name: str, df: DataFrame, limit: int, wanted: Column) -> list:
+    """The rows of a statistics table, all of them if they are few, else those wanted."""
+    few = _kept(store, name, lambda: df.limit(limit + 1).collect())
+    return few if len(few) <= limit else df.where(wanted).collect()
+
+
+def _ids(store: TripleStore, terms: list[Term]) -> dict[Term, int]:
+    """Ids of constants; those that the dictionary hasn't got are left out."""
+    store.look_up(set(terms))
+    ids = store.known.setdefault("ids", {})
+    new = [t for t in terms if t not in ids]
+    if new:
+        got = store.spark.range(1).select(*(store.id_of(t).alias(f"c{i}") for i, t in enumerate(new))).first()
+        ids.update(zip(new, got))
+    return {t: ids[t] for t in terms if ids[t] is not None}
+
+
+def exact_counts(store: TripleStore, patterns: list[Pattern]) -> dict[Pattern, float]:
+    """The numbers of facts of patterns with a bound subject or object, counted: values are far from evenly spread. One pass for
+    each layout over the row groups that can hold any of them; kept, as a store doesn't change."""
+    held = store.known.setdefault("counts", {})
+    key = lambda p: tuple(t if isinstance(t, Term) else None for t in (p.s, p.p, p.o))
+    bound = [p for p in patterns if isinstance(p.s, Term) or isinstance(p.o, Term)]
+    for by_object in (False, True):
+        mine = list({key(p): p for p in bound if key(p) not in held and (not isinstance(p.s, Term)) == by_object}.values())
+        if not mine:
+            continue
+        tests = [reduce(lambda a, b: a & b, (F.col(c) == store.id_of(t) for c, t in zip("spo", key(p)) if t is not None)) for p in mine]
+        got = store.scan(by_object).where(reduce(lambda a, b: a | b, tests)).agg(*(F.count_if(x) for x in tests)).first()
+        held.update({key(p): float(n) for p, n in zip(mine, got)})
+    return {p: held[key(p)] for p in bound}
+
+
 def estimates(store: TripleStore, patterns: list[Pattern]) -> Estimates:
-    """Reads what the statistics hold of the query's predicates: at most a row for each and one for each pair of them."""
+    """What the statistics hold of the query's predicates, and exact counts of patterns with a bound subject or object."""
     if store.predicate_stats is None or store.join_stats is None:
         weight = {(False, False, False): 1e9, (False, True, False): 1e6, (True, False, False): 1e3, (False, False, True): 1e4, (True, True, False): 1e1, (False, True, True): 1e3, (True, False, True): 1e1, (True, True, True): 1.0}
         return Estimates({p: weight[tuple(isinstance(t, Term) for t in (p.s, p.p, p.o))] for p in patterns})
-    predicates = sorted({p.p for p in patterns if isinstance(p.p, Term)}, key=str)
-    store.look_up(set(predicates))
-    ids: dict[Term, int] = {}
-    if predicates:
-        got = store.spark.range(1).select(*(store.id_of(t).alias(f"c{i}") for i, t in enumerate(predicates))).first()
-        ids = {t: got[i] for i, t in enumerate(predicates) if got[i] is not None}
+    if len(patterns) < 2:
+        return Estimates({p: 1.0 for p in patterns})  # nothing to order
+    ids = _ids(store, sorted({p.p for p in patterns if isinstance(p.p, Term)}, key=str))
     wanted = list(ids.values())
-    totals = {r["p"]: (float(r["n"]), float(r["n_s"]), float(r["n_o"])) for r in store.predicate_stats.where(F.col("p").isin(wanted)).collect()} if wanted else {}
-    pairs = {(r["p1"], r["p2"]): (float(r["path"]), float(r["star1"]), float(r["star2"])) for r in store.join_stats.where(F.col("p1").isin(wanted) & F.col("p2").isin(wanted)).collect()} if wanted else {}
-    whole = store.predicate_stats.agg(F.sum("n"), F.max("n_s"), F.max("n_o")).first()
-    every = tuple(float(x or 1) for x in whole)
-    cards = {}
-    for p in patterns:
-        n, n_s, n_o = totals.get(ids.get(p.p), (0.0, 1.0, 1.0)) if isinstance(p.p, Term) else every
-        cards[p] = n / (n_s if isinstance(p.s, Term) else 1) / (n_o if isinstance(p.o, Term) else 1)
+    totals = {r["p"]: (float(r["n"]), float(r["n_s"]), float(r["n_o"])) for r in _rows(store, "predicates", store.predicate_stats, MAX_PREDICATES, F.col("p").isin(wanted))}
+    pairs = {(r["p1"], r["p2"]): (float(r["path"]), float(r["star1"]), float(r["star2"])) for r in _rows(store, "pairs", store.join_stats, MAX_PAIRS, F.col("p1").isin(wanted) & F.col("p2").isin(wanted))}
+    everything = _kept(store, "facts", lambda: float(store.predicate_stats.agg(F.sum("n")).first()[0] or 1))
+    counted = exact_counts(store, patterns)
+    cards = {p: counted[p] if p in counted else totals.get(ids.get(p.p), (0.0,))[0] if isinstance(p.p, Term) else everything for p in patterns}
     return Estimates(cards, pairs, ids, totals)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.plans.algebra import Pattern, Var
@@ -36,8 +36,13 @@ def file_parts(store: TripleStore, parts_path: str, terms_path: str) -> DataFram
     spark = store.spark
 
     def numbered(path: str, name: str) -> DataFrame:
-        lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0]))
-        return spark.createDataFrame(lines, f"line long, {name} string")
+        """Lines by number: their place in the split they are read from, after the lines of the splits before."""
+        split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+        lines = spark.read.text(path).select(*split, F.col("value").alias(name), F.monotonically_increasing_id().alias("place"))
+        sizes = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("file", "start", (F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")).alias("before"))
+        place = F.row_number().over(Window.partitionBy("file", "start").orderBy("place"))
+        return lines.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + place).alias("line"), name)
 
     both = numbered(parts_path, "part").join(numbered(terms_path, "lex"), "line")
     number = F.trim("part").try_cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.operators.wide import ordinals
 from tripleloom.runtime import stored
-from tripleloom.sources.ntriples import read_ntriples, to_ntriples
+from tripleloom.sources.ntriples import globbed, has_ending, read_ntriples, reason, to_ntriples
 from tripleloom.store import TripleStore
 
 
@@ -20,15 +20,27 @@ def statements(parsed: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, identity: str = "rdf") -> TripleStore:
-    """A store from a file or a folder of N-Triples (.nt) and Turtle (.n3, .ttl). What can't be read is left out; the
-    readers themselves tell what that is."""
-    nt = statements(read_ntriples(spark, path, "*.nt"))
+    """A store from a file or a folder of N-Triples (.nt) and Turtle (.n3, .ttl), compressed or not. What can't be read is left
+    out of the facts and is in the store's ``skipped``: file_name, stmt (a line, or a piece with the fault) and reason."""
+    own = has_ending(path, "nt", "n3", "ttl")  # of such a folder, every file is meant
+    lines = read_ntriples(spark, path, "" if own else globbed("nt"))
+    bad_lines = lines.where("NOT well_formed").select("file_name", "stmt", reason(F.col("stmt"), F.col("o_lex"), F.col("o_dt"), F.col("well_formed")).alias("reason"))
     from tripleloom.sources.turtle import read_turtle
 
-    turtle = read_turtle(spark, path, "*.{n3,ttl}").where("corrupt IS NULL").select("s", "p", "o")
-    if path.endswith((".n3", ".ttl")):
-        return TripleStore.from_terms(turtle, identity)
-    return TripleStore.from_terms(nt if path.endswith(".nt") else nt.unionByName(turtle), identity)
+    pieces = read_turtle(spark, path, "" if own else globbed("n3", "ttl")) if not has_ending(path, "nt") else None
+    if pieces is None:
+        return _loaded(statements(lines), bad_lines, identity)
+    bad_pieces = pieces.where("corrupt IS NOT NULL").select("file_name", F.col("corrupt").alias("stmt"), F.lit("not Turtle").alias("reason"))
+    turtle = pieces.where("corrupt IS NULL").select("s", "p", "o")
+    if own:
+        return _loaded(turtle, bad_pieces, identity)
+    return _loaded(statements(lines).unionByName(turtle), bad_lines.unionByName(bad_pieces), identity)
+
+
+def _loaded(facts: DataFrame, skipped: DataFrame, identity: str) -> TripleStore:
+    store = TripleStore.from_terms(facts, identity)
+    store.skipped = skipped
+    return store
 
 
 def read_encoded(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:

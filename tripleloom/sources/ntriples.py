@@ -97,7 +97,20 @@ def reason(text: Column, lex: Column, dt: Column, well_formed: Column) -> Column
     )
 
 
-def read_ntriples(spark: SparkSession, path: str, glob: str = "*.{nt,n3}") -> DataFrame:
+#: Compressed files are read by their last ending.
+COMPRESSED = ("", ".gz", ".bz2", ".deflate", ".zst")
+
+
+def globbed(*endings: str) -> str:
+    """A pattern of file names with one of the endings, compressed or not."""
+    return "*.{" + ",".join(e + c for e in endings for c in COMPRESSED) + "}"
+
+
+def has_ending(path: str, *endings: str) -> bool:
+    return path.endswith(tuple(f".{e}{c}" for e in endings for c in COMPRESSED))
+
+
+def read_ntriples(spark: SparkSession, path: str, glob: str = globbed("nt", "n3")) -> DataFrame:
     """Lines of N-Triples files with file_name, statement and the parsed columns; a file or a folder, compressed or not."""
     lines = spark.read.option("pathGlobFilter", glob).text(path) if glob else spark.read.text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("stmt"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.iri import resolve
 from tripleloom.functions.xsd import RDF, XSD
+from tripleloom.runtime import ready
+from tripleloom.sources.ntriples import globbed
 
 Node = tuple[str, str, str, str]  # kind, lex, lang, dt
 
@@ -213,12 +215,22 @@ class Turtle:
         return ("L", lex, "", "")
 
 
+#: A file is one string in a task.
+MAX_BYTES = 512 << 20
+
 _NODE = "struct<kind:string,lex:string,lang:string,dt:string>"
 
 
-def read_turtle(spark: SparkSession, path: str, glob: str = "*.{ttl,n3,nt}") -> DataFrame:
+def read_turtle(spark: SparkSession, path: str, glob: str = globbed("ttl", "n3", "nt")) -> DataFrame:
     """s, p, o (structs kind, lex, lang, dt), corrupt, file_name. A piece that can't be read has nulls and the reason with its
-    text in ``corrupt``. A file is read by one task, as prefixes hold to its end; blank node labels are unique to a file."""
+    text in ``corrupt``. A file is read by one task, as prefixes hold to its end; blank node labels are unique to a file.
+    ValueError for files of more than ``MAX_BYTES``: they must be split at a statement's end, with the prefixes repeated, or be
+    given as N-Triples, which is read in any number of splits."""
+    ready(spark)
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", glob or "*").load(path).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > MAX_BYTES).limit(5).collect()]
+    if large:
+        raise ValueError(f"too large to be read as a whole: {', '.join(large)}")
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
     files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), "value")
 

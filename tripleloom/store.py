@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions.terms import TERM_FIELDS, term_id
 from tripleloom.functions.xsd import XSD
 from tripleloom.plans.algebra import Term
-from tripleloom.runtime import stored
+from tripleloom.runtime import exists, stored
 
 
 @dataclass
@@ -26,6 +27,10 @@ class TripleStore:
     predicate_stats: DataFrame | None = None
     join_stats: DataFrame | None = None
     summary: DataFrame | None = None
+    path: str | None = None
+    skipped: DataFrame | None = None
+    #: Facts and dictionary don't change, so numbers that were looked up once are kept: statistics, counts of patterns.
+    known: dict = field(default_factory=dict)
     _ids: dict[Term, int | None] = field(default_factory=dict)
 
     @property
@@ -105,31 +110,68 @@ class TripleStore:
 
     # persistence
 
-    def save(self, path: str, files: int | None = None) -> TripleStore:
-        """Writes two layouts of the facts, one in ranges of subjects, one in ranges of objects, both with the predicate first
-        in a file's order so that files and row groups can be skipped, and the dictionary by id. Ranges are over the whole
-        fact, so a hot subject or object is spread over several files. Returns the stored store."""
-        spread = lambda df, *keys: df.repartitionByRange(*([files] if files else []), *keys)
-        spread(self.triples, "s", "p", "o").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{path}/by_subject")
-        spread(self.triples, "o", "p", "s").sortWithinPartitions("p", "o", "s").write.mode("overwrite").parquet(f"{path}/by_object")
-        spread(self.terms, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/terms")
-        self.spark.createDataFrame([(self.identity, self.hashed)], "identity string, hashed boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    def save(self, path: str, buckets: int | None = None) -> TripleStore:
+        """Writes the facts in two layouts, one by subject, one by object, and the dictionary by id, and returns the stored store.
+
+        A layout is in buckets, so that joins on its key need no exchange; the dictionary has as many. Within a bucket the
+        predicate comes first in order, so that row groups can be skipped. Where one subject (or object) holds more than
+        ``MAX_SKEW`` times a bucket's share of the facts, its layout is in ranges over the whole fact instead: a hot key is
+        then in several files, and its joins are left to adaptive execution. Statistics and the summary are written beside."""
+        n = self.triples.count()
+        buckets = buckets or min(4096, max(8, -(-n // 1_000_000)))
+        kinds = {}
+        for name, keys in LAYOUTS.items():
+            top = self.triples.groupBy(keys[0]).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+            kinds[name] = buckets if top * buckets <= MAX_SKEW * n else 0
+            self._write(self.triples, f"{path}/{name}", keys, (keys[1], keys[0], keys[2]), kinds[name])
+        self._write(self.terms, f"{path}/terms", ("id",), ("id",), buckets)
+        kinds["terms"] = buckets
         for name, df in (("predicate_stats", self.predicate_stats), ("join_stats", self.join_stats), ("summary", self.summary)):
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
+        # Written last: a folder with it is whole.
+        about = [(self.identity, self.hashed, *(kinds[x] for x in TABLES))]
+        self.spark.createDataFrame(about, "identity string, hashed boolean, " + ", ".join(f"{x} int" for x in TABLES)).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return TripleStore.load(self.spark, path)
 
+    @staticmethod
+    def _write(df: DataFrame, path: str, keys: tuple[str, ...], order: tuple[str, ...], buckets: int) -> None:
+        if not buckets:
+            df.repartitionByRange(*keys).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+            return
+        name = _table(path)
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        df.repartition(buckets, keys[0]).write.mode("overwrite").bucketBy(buckets, keys[0]).sortBy(*order).option("path", path).saveAsTable(name)
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> TripleStore:
         about = spark.read.parquet(f"{path}/about").first()
-        jvm = spark.sparkContext._jvm
-        optional = {}
-        for name in ("predicate_stats", "join_stats", "summary"):
-            hp = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            if hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
-                optional[name] = spark.read.parquet(f"{path}/{name}")
-        return TripleStore(spark.read.parquet(f"{path}/by_subject"), spark.read.parquet(f"{path}/terms"), about["identity"], about["hashed"], spark.read.parquet(f"{path}/by_object"), **optional)
+        optional = {name: spark.read.parquet(f"{path}/{name}") for name in ("predicate_stats", "join_stats", "summary") if exists(spark, f"{path}/{name}")}
+
+        def table(name: str, key: str, order: tuple[str, ...]) -> DataFrame:
+            files = spark.read.parquet(f"{path}/{name}")
+            if not about[name]:
+                return files
+            # Buckets are known to Spark by way of a table over the files.
+            view = _table(f"{path}/{name}")
+            columns = ", ".join(f"`{c}` {k}" for c, k in files.dtypes)
+            spark.sql(f"DROP TABLE IF EXISTS {view}")
+            spark.sql(f"CREATE TABLE {view} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {about[name]} BUCKETS LOCATION '{path}/{name}'")
+            return spark.table(view)
+
+        facts = {name: table(name, keys[0], (keys[1], keys[0], keys[2])) for name, keys in LAYOUTS.items()}
+        return TripleStore(facts["by_subject"], table("terms", "id", ("id",)), about["identity"], about["hashed"], facts["by_object"], path=path, **optional)
 
     def frozen(self) -> TripleStore:
         """The same store with its facts and dictionary written to the shared folder once."""
-        return TripleStore(stored(self.triples, "triples"), stored(self.terms, "terms"), self.identity, self.hashed)
+        return TripleStore(stored(self.triples, "triples"), stored(self.terms, "terms"), self.identity, self.hashed, skipped=self.skipped)
+
+
+#: Layouts by name, with the order of their ranges; buckets are by the first.
+LAYOUTS = {"by_subject": ("s", "p", "o"), "by_object": ("o", "p", "s")}
+TABLES = (*LAYOUTS, "terms")
+MAX_SKEW = 4
+
+
+def _table(path: str) -> str:
+    return f"triples_{md5(path.encode()).hexdigest()}"
