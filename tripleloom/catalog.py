@@ -25,6 +25,16 @@ def p1_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_load(read(spark, sf_dir, "nt_lines")).failed
 
 
+def p1_failed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each failed line as it is."""
+    return strict_load(read(spark, sf_dir, "nt_lines")).failed.select("line_id", "stmt")
+
+
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds, tag and datatype of the terms of each good line."""
+    return strict_load(read(spark, sf_dir, "nt_lines")).valid.select("line_id", "s_kind", "o_kind", "o_lang", "o_dt")
+
+
 def p1_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples of the good lines."""
     return strict_load(read(spark, sf_dir, "nt_lines")).valid
@@ -84,9 +94,16 @@ _P1_BAD = " OR ".join(f"(t = '{XSD}{n}' AND NOT regexp_matches(v, '{_sql_pattern
 _P1 = f"""WITH l AS (SELECT line_id, stmt, regexp_matches(stmt, '{_STMT}') AS ok, regexp_extract(stmt, '{_STMT}', 1) AS v, regexp_extract(stmt, '{_STMT}', 2) AS t
   FROM nt_lines WHERE stmt IS NOT NULL AND NOT regexp_matches(stmt, '^\\s*(#.*)?$'))
 SELECT line_id FROM l WHERE NOT ok OR ({_P1_BAD})"""
+_KIND_STMT = rf"^[ \t]*(?:{_IRI}|({_BLANK}))[ \t]*{_IRI}[ \t]*(?:({_IRI})|({_BLANK})|{_STR}(?:[ \t]*\^\^[ \t]*<([^>]*)>|[ \t]*@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?)[ \t]*\.[ \t]*(?:#[^\n\r]*)?\r?$"
+_GROUP = [f"regexp_extract(stmt, '{_KIND_STMT}', {i})" for i in range(7)]
+_P1_KINDS = f"""WITH l AS (SELECT line_id, {_GROUP[1]} AS b, {_GROUP[2]} AS i, {_GROUP[3]} AS ob, {_GROUP[4]} AS v, {_GROUP[5]} AS t, {_GROUP[6]} AS g
+  FROM nt_lines WHERE regexp_matches(stmt, '{_STMT}'))
+SELECT line_id, CASE WHEN b <> '' THEN 'B' ELSE 'I' END AS s_kind, CASE WHEN i <> '' THEN 'I' WHEN ob <> '' THEN 'B' ELSE 'L' END AS o_kind, nullif(g, '') AS o_lang, nullif(t, '') AS o_dt FROM l WHERE NOT ({_P1_BAD})"""
 
 SQL = {
     "p1_found": _P1,
+    "p1_failed_lines": _P1.replace("SELECT line_id FROM l", "SELECT line_id, stmt FROM l"),
+    "p1_kinds": _P1_KINDS,
     "p2_found": f"""SELECT 's' AS term_role, s AS term_id FROM triples WHERE s IS NOT NULL GROUP BY s HAVING count(*) >= {HOT_SHARE} * (SELECT count(*) FROM triples)
 UNION ALL SELECT 'p', p FROM triples WHERE p IS NOT NULL GROUP BY p HAVING count(*) >= {HOT_SHARE} * (SELECT count(*) FROM triples)""",
     "p2_profile": " UNION ALL ".join(
@@ -99,4 +116,4 @@ LEFT JOIN (SELECT {r} AS k, o, w FROM (SELECT {r}, o, count(*) AS w, row_number(
     "p5_found": f"SELECT DISTINCT t.s, w.attr FROM triples t JOIN wide_attrs w ON t.p = w.p JOIN dict d ON t.o = d.id WHERE t.s IS NOT NULL AND {_case(_LEX)}",
 }
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_failures, p1_triples, p2_found, p2_profile, p4_found, p4_records, p5_found, p5_wide)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_failures, p1_failed_lines, p1_kinds, p1_triples, p2_found, p2_profile, p4_found, p4_records, p5_found, p5_wide)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tripleloom.plans.engine import Engine
 from tripleloom.plans.stats import analyse, join_stats, predicate_stats, summary_stats
 from tripleloom.plans.summary import summary_edges
-from tripleloom.runtime import fresh_path, read
+from tripleloom.runtime import exists, fresh_path, read, stored
 from tripleloom.sources.files import graph_edges, write_ntriples
 from tripleloom.sources.tables import tables_statements
 from tripleloom.store import TripleStore
@@ -30,6 +30,21 @@ def graph(spark: SparkSession, sf_dir: str) -> TripleStore:
     return TripleStore.from_encoded(read(spark, sf_dir, "triples"), read(spark, sf_dir, "dict"))
 
 
+_stores: dict[tuple, TripleStore] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, *tables: str) -> TripleStore:
+    """The store of the graph tables, or of relational ones, with statistics and summary: loaded once in a session, as a store
+    is that is queried many times. It is made anew where its folder isn't there any more."""
+    key = (spark.sparkContext.applicationId, sf_dir, *tables)
+    if key not in _stores or not exists(spark, f"{_stores[key].path}/about/_SUCCESS"):
+        store = TripleStore.from_terms(tables_statements(spark, sf_dir, *tables)) if tables else graph(spark, sf_dir)
+        frozen = TripleStore(stored(store.triples, "facts"), stored(store.terms, "terms") if tables else store.terms, store.identity, store.hashed)
+        frozen.summary = summary_edges(frozen)
+        _stores[key] = analyse(frozen).save(fresh_path(spark, "store", keep=True))
+    return _stores[key]
+
+
 def _p(name: str) -> str:
     return f"(SELECT id FROM dict WHERE kind = 'I' AND lex = '{V}{name}')"
 
@@ -43,7 +58,7 @@ def _lex(*ids: str) -> str:
 
 
 def on_graph(name: str, text: str, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: Engine(graph(spark, sf_dir)).query(PREFIXES + text)
+    QUERIES[name] = lambda spark, sf_dir: Engine(saved(spark, sf_dir)).query(PREFIXES + text)
     SQL[name] = _T + sql
 
 
@@ -51,7 +66,7 @@ def on_tables(name: str, tables: tuple[str, ...], text: str, sql: str, doubles:
     """Numbers are compared as numbers, as their texts differ between engines."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = Engine(TripleStore.from_terms(tables_statements(spark, sf_dir, *tables))).query(PREFIXES + text)
+        df = Engine(saved(spark, sf_dir, *tables)).query(PREFIXES + text)
         casts = {c: F.col(c).cast("double") for c in doubles} | {c: F.col(c).cast("long") for c in longs}
         return df.withColumns(casts) if casts else df
 
@@ -150,7 +165,7 @@ SQL["summary_edges"] = _F + "SELECT DISTINCT p, coalesce(s_part, -1) AS s_part,
 
 def summary_pruned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path query with joins ordered by statistics and scans pruned by the summary graph; the same rows as without."""
-    return Engine(analyse(graph(spark, sf_dir)), summary=True).query(PREFIXES + "SELECT ?a ?b ?l WHERE { ?a v:partOf ?b . ?b v:cites ?c . ?c v:label ?l }")
+    return Engine(saved(spark, sf_dir), summary=True).query(PREFIXES + "SELECT ?a ?b ?l WHERE { ?a v:partOf ?b . ?b v:cites ?c . ?c v:label ?l }")
 
 
 QUERIES["summary_pruned_query"] = summary_pruned_query
@@ -224,13 +239,13 @@ SQL["store_roundtrip"] = "SELECT 'http://ex.org/customer/' || c_custkey AS c FRO
 
 
 def udf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(TripleStore.from_terms(tables_statements(spark, sf_dir, "part")))
+    engine = Engine(saved(spark, sf_dir, "part"))
     engine.register_function("http://ex.org/f#near", lambda x, y: F.abs(x - y) <= 2, ("number", "number"), "flag")
     return engine.query(PREFIXES + "SELECT ?p WHERE { ?p e:size ?s . FILTER <http://ex.org/f#near>(?s, 20) }")
 
 
 def _upto(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    engine = Engine(TripleStore.from_terms(tables_statements(spark, sf_dir, "part")))
+    engine = Engine(saved(spark, sf_dir, "part"))
     engine.register_table_function("upto", lambda n: F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n.cast("long"))), ("number",), ("number",))
     df = engine.query(PREFIXES + f'SELECT ?p ?i WHERE {{ ?p e:size ?s . {condition} FILTER <urn:x/tableFunction>("upto", 1, ?s, ?i) }}')
     return df.withColumn("i", F.col("i").cast("long"))
