@@ -49,22 +49,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Elements that are drawn for at once: with up to 32 draws each, some MB.
+CHUNK = 1 << 14
+
+
 def draws(hashes: np.ndarray, limit: np.ndarray, scale: Scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The draws of each element in ascending order up to its limit: places of the elements, registers, values.
 
     An element's draws are a Poisson process of rate a m whose points fall on registers at random, so that the first point
     of each register is exponential of rate a, independently of the others. All follow from the hash alone."""
+    if len(hashes) > CHUNK:
+        for i in range(0, len(hashes), CHUNK):
+            for at, register, x in draws(hashes[i : i + CHUNK], limit[i : i + CHUNK], scale):
+                yield at + i, register, x
+        return
     at, h, x = np.arange(len(hashes)), hashes.astype(np.uint64), np.zeros(len(hashes))
-    step = 0
+    done, size = 0, 1
     with np.errstate(over="ignore"):
         while len(at):
-            step += 1
-            word = _mix(h + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
-            x = x - np.log1p(-((word >> np.uint64(11)) + 0.5) / (1 << 53)) / (scale.a * scale.m)
+            # Blocks of 1, 1, 2, 4, … 32 draws, the same for every element, so that its draws are the same wherever it is.
+            steps = np.arange(done + 1, done + size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            word = _mix(h[:, None] + steps)
+            values = x[:, None] + np.cumsum(np.log1p(((word >> np.uint64(11)) + 0.5) / -float(1 << 53)) / -(scale.a * scale.m), axis=1)
+            row, col = np.nonzero(values <= limit[:, None])
+            register = ((_mix(word[row, col] ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * np.uint64(scale.m)) >> np.uint64(32)
+            yield at[row], register.astype(np.int64), values[row, col]
+            x = values[:, -1]
             keep = np.flatnonzero(x <= limit)
-            at, h, x, limit, word = at[keep], h[keep], x[keep], limit[keep], word[keep]
-            register = ((_mix(word ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * np.uint64(scale.m)) >> np.uint64(32)
-            yield at, register.astype(np.int64), x
+            at, h, x, limit = at[keep], h[keep], x[keep], limit[keep]
+            done, size = done + size, min(32, max(1, done + size))
 
 
 def fill(registers: np.ndarray, slot: np.ndarray, hashes: np.ndarray, scale: Scale) -> None:
@@ -207,13 +220,14 @@ def _columns(n: np.ndarray, sparse: np.ndarray, dense: np.ndarray, regs: np.ndar
     return [_binary(np.where(dense, 0, n * 8), sparse, ~dense), _binary(np.where(dense, m, 0), regs, dense), pa.array(n, mask=dense, type=pa.int64())]
 
 
-def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str], scale: Scale = Scale(), combos: Sequence[tuple[str, ...]] | None = None, task_rows: int = 2_000_000, task_share: float = 1 / 128) -> DataFrame:
+def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str], scale: Scale = Scale(), combos: Sequence[tuple[str, ...]] | None = None, task_rows: int = 2_000_000, task_share: float = 1 / 64) -> DataFrame:
     """A mergeable partial result for each value of ``lead`` (as a day) with each combination of values of ``dims``.
 
     dimensions (names of the grouped dims, joined by +; '' for the lead alone), lead, the dims (null where not grouped),
     hashes (sparse sets) or registers (dense sets), and n: the count that was found on the way for sparse sets.
-    Equal rows are made one where they are read. A lead with more rows than ``task_rows``, or more than ``task_share`` of all, is
-    split into parts, each sketched in a task of its own, and these are merged by ``merged``.
+    A lead with more rows than ``task_rows``, or more than ``task_share`` of all, is split into parts, each sketched in a task of
+    its own, and these are merged by ``merged``. A row's part follows from its element and from the split of the input that
+    it is read in, so that neither a hot element nor equal rows are all in one part.
     Null elements count for nothing; null leads and null dims are groups of their own. No rows give no rows."""
     combos = levels(dims) if combos is None else list(combos)
     names = [f"d{i}" for i in range(len(dims))]
@@ -242,18 +256,23 @@ def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str
         return pa.concat_tables(out)
 
     schema = f"dimensions string, lead {kinds['lead']}, " + "".join(f"{d} {kinds[d]}, " for d in names) + "hashes binary, registers binary, n long, salts long"
-    once = rows.join(hot, F.col("lead").eqNullSafe(F.col("hot")), "left").select("lead", *names, "h", F.coalesce("salts", F.lit(1)).alias("salts")).distinct()
-    parts = once.withColumn("salt", F.pmod("h", "salts")).groupBy("lead", "salt").applyInArrow(sketch, schema)
-    parts = stored(parts.select("dimensions", F.col("lead").alias(lead), *(F.col(x).alias(d) for x, d in zip(names, dims)), "hashes", "registers", "n", "salts"), "partials")
-    return parts.where("salts = 1").drop("salts").unionByName(merged(parts.where("salts > 1").drop("salts"), ["dimensions", lead, *dims], scale))
+    salted = rows.join(hot, F.col("lead").eqNullSafe(F.col("hot")), "left").select("lead", *names, "h", F.coalesce("salts", F.lit(1)).alias("salts"))
+    part = F.pmod(F.xxhash64("h", F.spark_partition_id()), "salts").alias("salt")
+    parts = stored(salted.select("*", part).groupBy("lead", "salt").applyInArrow(sketch, schema), "partials")
+    parts = parts.select("dimensions", F.col("lead").alias(lead), *(F.col(x).alias(d) for x, d in zip(names, dims)), "hashes", "registers", "n", "salts")
+    split = parts.where("salts > 1").drop("salts")
+    return parts.where("salts = 1").drop("salts").unionByName(stored(merged(split, ["dimensions", lead, *dims], scale, split.count()), "merged"))
 
 
-def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), bucket_rows: int = 20_000) -> DataFrame:
+def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), rows: int | None = None, bucket_rows: int = 20_000) -> DataFrame:
     """One sketch for each group of equal ``keys`` (null equals null): registers by maximum, lists of hashes as sets.
 
     Equal groups are first folded within each of the parts' partitions, so many parts of one group don't meet in one task; what
-    is left is merged in buckets by hash of the keys of about ``bucket_rows`` parts, of which a task takes one at a time. No
-    rows give no rows."""
+    is left is merged in buckets by hash of the keys of about ``bucket_rows`` parts, of which a task takes one at a time.
+    rows: the number of parts; where it isn't given, the parts are stored to count them. No rows give no rows."""
+    if rows is None:
+        parts = stored(parts, "parts")
+        rows = parts.count()
     kinds = dict(parts.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", hashes binary, registers binary, n long"
 
@@ -282,19 +301,20 @@ def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), bucket
             if b.num_rows:
                 yield from merge(pa.Table.from_batches([b])).to_batches()
 
-    folded = stored(parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema), "folded")
-    buckets = max(1, -(-folded.count() // bucket_rows))
+    folded = parts.select(*keys, "hashes", "registers", "n").mapInArrow(first_fold, schema)
+    buckets = max(1, -(-rows // bucket_rows))
     hashed = F.pmod(F.xxhash64(*(F.col(f"`{k}`").isNull() for k in keys), *(F.col(f"`{k}`") for k in keys)), F.lit(buckets)).alias("_bucket")
     return folded.select("*", hashed).groupBy("_bucket").applyInArrow(lambda t: merge(t.drop_columns(["_bucket"])), schema)
 
 
 def rolled_up(sketches: DataFrame, lead: str, dims: Sequence[str], scale: Scale = Scale()) -> DataFrame:
-    """The sketches of each value of ``lead`` and, merged from them, those over all of its values (null ones too).
+    """The sketches (stored ones, as ``distinct_sketches`` gives them) of each value of ``lead`` and, merged from them, those over all of
+    its values (null ones too).
 
     ``dimensions`` begins with the lead's name where it is grouped by; elsewhere the lead is null and, without dims, the names
     are empty: the grand total. No rows give no rows."""
-    own = stored(sketches, "sketches")
-    over = merged(own, ["dimensions", *dims], scale).withColumn(lead, F.lit(None).cast(dict(own.dtypes)[lead]))
+    own = sketches
+    over = merged(own, ["dimensions", *dims], scale, own.count()).withColumn(lead, F.lit(None).cast(dict(own.dtypes)[lead]))
     named = F.concat_ws("+", F.lit(lead), F.when(F.col("dimensions") != "", F.col("dimensions")))
     return own.withColumn("dimensions", named).unionByName(over)
 
