@@ -22,9 +22,23 @@ _BASE = 1_000_003
 #: Bits of the filter that documents are read with: so many for each seed, within these bounds (at most 64 MB are broadcast).
 FILTER_BITS = (20, 29)
 BITS_A_SEED = 32
+#: Shared seeds that a task takes at a time: those of many documents and items, each pair's together.
+BUCKET_SEEDS = 50_000
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 2_000_000
-_known: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """Words and their 64-bit hashes, the same in every worker; each is made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_known = _Hashes()
 
 
 def fingerprints(ids: np.ndarray, k: int) -> np.ndarray:
@@ -42,16 +56,7 @@ def fingerprints(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_ids(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words, the same in every worker."""
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = _known.get(w)
-        if h is None:
-            if len(_known) >= KNOWN_WORDS:
-                _known.clear()
-            h = _known[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def diagonals(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
@@ -132,9 +137,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
     rows = spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("doc_text"), F.col(f"`{text}`").alias("text"))).where(F.length("text") > 0)
     hits = rows.mapInArrow(_reader(bits, seed), f"doc_id {kind_d}, doc_text long, reading int, doc_place int, fingerprint long")
-    same = hits.join(seeds, "fingerprint").select("doc_id", "doc_text", "item_id", "item_text", "n_words", "reading", "doc_place", "item_place")
-    tiled = same.groupBy("doc_id", "doc_text", "item_id", "item_text").applyInArrow(_tiler(seed, least), f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double")
-    return tiled
+    pair = F.xxhash64(*(x for c in ("doc_id", "item_id") for x in (F.col(c).isNull(), F.col(c))), "doc_text", "item_text").alias("pair")
+    same = stored(hits.join(seeds, "fingerprint").select("doc_id", "item_id", "n_words", "reading", "doc_place", "item_place", pair), "same")
+    buckets = max(1, -(-same.count() // BUCKET_SEEDS))
+    bucketed = same.withColumn("bucket", F.pmod("pair", F.lit(buckets)))
+    return bucketed.groupBy("bucket").applyInArrow(_tiler(seed, least), f"doc_id {kind_d}, item_id {kind_i}, longest int, covered int, n_words int, coverage double")
 
 
 def item_seeds(items: DataFrame, item_id: str, item_text: str, seed: int) -> DataFrame:
@@ -207,14 +214,21 @@ def _reader(bits, seed: int) -> Callable:
 
 def _tiler(seed: int, least: int) -> Callable:
     def tile(part: pa.Table) -> pa.Table:
-        """The tiles of one document and one item, by reading."""
-        doc, place, reading = (part[c].to_numpy().astype(np.int64) for c in ("doc_place", "item_place", "reading"))
-        longest = covered = 0
-        for k in np.unique(reading):
-            got = tiles(diagonals(doc[reading == k], place[reading == k], seed), least)
-            longest, covered = max([longest, *(n for n, _, _ in got)]), max(covered, sum(n for n, _, _ in got))
-        one = part.slice(0, 1 if longest else 0)
-        n = one["n_words"].to_numpy()
-        return pa.table([one["doc_id"], one["item_id"], pa.array([longest][: len(n)], pa.int32()), pa.array([covered][: len(n)], pa.int32()), one["n_words"], pa.array(covered / n)], names=["doc_id", "item_id", "longest", "covered", "n_words", "coverage"])
+        """The tiles of each pair of a document and an item, by reading."""
+        pair, reading, doc, place = (part[c].to_numpy() for c in ("pair", "reading", "doc_place", "item_place"))
+        doc, place = doc.astype(np.int64), place.astype(np.int64)
+        order = np.lexsort((reading, pair))
+        new = (np.diff(pair[order]) != 0) | (np.diff(reading[order]) != 0)
+        best: dict[int, tuple[int, int, int]] = {}
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            got = tiles(diagonals(doc[rows], place[rows], seed), least)
+            if got:
+                key, first = int(pair[rows[0]]), int(rows[0])
+                longest, covered, _ = best.get(key, (0, 0, first))
+                best[key] = (max([longest, *(n for n, _, _ in got)]), max(covered, sum(n for n, _, _ in got)), first)
+        longest, covered, rows = (np.array(x, dtype=np.int64) for x in zip(*best.values())) if best else [np.zeros(0, np.int64)] * 3
+        one = part.take(pa.array(rows))
+        words = one["n_words"].to_numpy()
+        return pa.table([one["doc_id"], one["item_id"], pa.array(longest.astype(np.int32)), pa.array(covered.astype(np.int32)), one["n_words"], pa.array(covered / np.maximum(1, words))], names=["doc_id", "item_id", "longest", "covered", "n_words", "coverage"])
 
     return tile
