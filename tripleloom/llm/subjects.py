@@ -14,6 +14,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ class Settings:
     clear: float = 0.55
     #: What a sentence needs: a term with this share of its mixture in the area, or several that are less clear.
     least_sign: float = 0.8
+    #: Weight of the mixture of a document's leaf among the signs of its sentences.
+    leaf_weight: float = 0.5
     #: Hand labels: of more documents than this, those with the smallest hash of their id are used.
     max_labelled: int = 200_000
     seed: int = 7
@@ -198,8 +201,8 @@ def choose_features(statistics: DataFrame, n_docs: int, n_labelled: int, of_area
 
 
 def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> DataFrame:
-    """doc_id, vector (unit length), features (places): signed random projections of term weights; documents without features
-    are left out. A term's signs are bits of its hash."""
+    """doc_id, vector (unit length), places and sentences (of each occurrence of a feature in the document, in order): signed random
+    projections of term weights; documents without features are left out. A term's signs are bits of its hash."""
     shared = tokens.sparkSession.sparkContext.broadcast((features.terms, features.idf))
     words = -(-s.dims // 64)
 
@@ -210,9 +213,10 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
         bits = _mix(terms[:, None] + steps[None, :])
         signs = (np.unpackbits(bits.view(np.uint8), axis=1)[:, : s.dims] * 2).view(np.int8) - np.int8(1)
         for b in slices(batches):
-            term, row, _, _, _ = terms_of(b)
+            term, row, sent, row_of, _ = terms_of(b)
             at, place = find(term)
-            key, tf = np.unique(row[at] * len(terms) + place, return_counts=True)
+            mine, sent = row[at], sent[at]
+            key, tf = np.unique(mine * len(terms) + place, return_counts=True)
             r, f = key // max(1, len(terms)), key % max(1, len(terms))
             rows, first = np.unique(r, return_index=True)
             if not len(rows):
@@ -223,12 +227,21 @@ def document_vectors(tokens: DataFrame, features: Features, s: Settings) -> Data
                 lo, hi = stops[i], stops[min(i + 256, len(rows))]
                 v[i : i + 256] = np.add.reduceat(weight[lo:hi, None] * signs[f[lo:hi]], first[i : i + 256] - lo, axis=0)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            order = np.lexsort((sent, mine))
+            ends = np.append(np.searchsorted(mine[order], rows), len(order)).astype(np.int32)
+            starts = np.searchsorted(row_of, np.arange(b.num_rows))  # first sentence of each row
+            own = (sent - starts[mine])[order].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, s.dims, dtype=np.int32)), pa.array(v.ravel())), pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(f.astype(np.int32)))],
-                names=["doc_id", "vector", "features"],
+                [
+                    b.column("doc_id").take(pa.array(rows)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, s.dims, dtype=np.int32)), pa.array(v.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(own)),
+                ],
+                names=["doc_id", "vector", "places", "sentences"],
             )
 
-    return stored(tokens.mapInArrow(project, f"doc_id {dict(tokens.dtypes)['doc_id']}, vector array<float>, features array<int>"), "vectors")
+    return stored(tokens.mapInArrow(project, f"doc_id {dict(tokens.dtypes)['doc_id']}, vector array<float>, places array<int>, sentences array<int>"), "vectors")
 
 
 @dataclass(frozen=True)
@@ -237,17 +250,21 @@ class Leaves:
     terms: np.ndarray  # leaf x feature: documents
     disc: np.ndarray  # leaf x feature: discriminative weight
     mixture: np.ndarray  # leaf x area
+    placed: DataFrame  # doc_id, leaf, places, sentences
 
 
 def cluster(vectors: DataFrame, features: Features, s: Settings) -> Leaves:
-    """Bisecting k-means over the document vectors; each leaf labelled by its discriminative terms."""
+    """Bisecting k-means over all document vectors; each leaf labelled by its discriminative terms."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select(array_to_vector("vector").alias("features"), F.col("features").alias("terms"))
-    model = BisectingKMeans(k=s.leaves, maxIter=s.iterations, seed=s.seed, minDivisibleClusterSize=4.0).fit(rows)
-    placed = model.transform(rows).select(F.col("prediction").alias("leaf"), "terms")
-    counted = placed.select("leaf", F.explode(F.concat(F.array(F.lit(-1)), "terms")).alias("f")).groupBy("leaf", "f").count().toArrow()
+    # The vectors alone are kept for the passes of the fit; the rest of the rows is read once, to be placed.
+    points = vectors.select(array_to_vector("vector").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    model = BisectingKMeans(k=s.leaves, maxIter=s.iterations, seed=s.seed, minDivisibleClusterSize=4.0).fit(points)
+    points.unpersist()
+    rows = vectors.select("doc_id", array_to_vector("vector").alias("features"), "places", "sentences")
+    placed = stored(model.transform(rows).select("doc_id", F.col("prediction").alias("leaf"), "places", "sentences"), "placed")
+    counted = placed.select("leaf", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct("places"))).alias("f")).groupBy("leaf", "f").count().toArrow()
     leaf, f, n = (counted[c].to_numpy() for c in ("leaf", "f", "count"))
     k = int(leaf.max()) + 1
     sizes, terms = np.zeros(k), np.zeros((k, len(features.terms)), dtype=np.float32)
@@ -262,7 +279,7 @@ def cluster(vectors: DataFrame, features: Features, s: Settings) -> Leaves:
     mixture = (disc @ features.lift) ** 2
     mixture /= np.maximum(mixture.sum(axis=1, keepdims=True), 1e-12)
     squared = mixture**2
-    return Leaves(sizes, terms, disc, squared / np.maximum(squared.sum(axis=1, keepdims=True), 1e-12))
+    return Leaves(sizes, terms, disc, squared / np.maximum(squared.sum(axis=1, keepdims=True), 1e-12), placed)
 
 
 def term_subjects(leaves: Leaves, features: Features) -> np.ndarray:
@@ -276,35 +293,41 @@ def term_subjects(leaves: Leaves, features: Features) -> np.ndarray:
     return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
 
 
-def sentence_shares(tokens: DataFrame, features: Features, weights: np.ndarray, s: Settings) -> DataFrame:
+def sentence_shares(leaves: Leaves, weights: np.ndarray, s: Settings) -> DataFrame:
     """doc_id, area (place), n_sentences with the area, n_bearing (subject-bearing sentences): one row for each area that any sentence of
-    the row's document deals with."""
-    clear = weights.max(axis=1) >= s.clear if len(weights) else np.zeros(0, bool)
+    the row's document deals with. The mixture of the document's leaf is the first estimate, which clear terms add to."""
     n_areas = weights.shape[1]
-    logs = np.log((weights[clear] + 0.02) / (1 / n_areas + 0.02)).astype(np.float32)
-    least = float(np.log((s.least_sign + 0.02) / (1 / n_areas + 0.02)))
-    shared = tokens.sparkSession.sparkContext.broadcast((features.terms[clear], logs))
+    usual = 1 / n_areas + 0.02
+    logs = np.where(weights.max(axis=1, keepdims=True) >= s.clear, np.log((weights + 0.02) / usual), 0).astype(np.float32)
+    first = s.leaf_weight * np.log((leaves.mixture + 0.02) / usual)
+    least = float(np.log((s.least_sign + 0.02) / usual))
+    shared = leaves.placed.sparkSession.sparkContext.broadcast((logs, first, logs.any(axis=1)))
 
     def assign(batches):
-        terms, w = shared.value
-        find = Lookup(terms)
+        w, prior, clear = shared.value
         for b in slices(batches):
-            term, _, sent, row_of, n = terms_of(b)
-            at, place = find(term)
-            if not len(at):
+            places, ends = b.column("places"), b.column("places").offsets.to_numpy()
+            place = places.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            sent = b.column("sentences").flatten().to_numpy()
+            keep = np.flatnonzero(clear[place])
+            if not len(keep):
                 continue
-            sents = sent[at]
-            score = np.stack([np.bincount(sents, weights=w[place, a], minlength=n) for a in range(n_areas)], axis=1)
-            bearing = np.flatnonzero(score.max(axis=1) >= least)
-            if not len(bearing):
+            new = np.r_[True, (np.diff(row[keep]) != 0) | (np.diff(sent[keep]) != 0)]
+            start = np.flatnonzero(new)
+            row = row[keep][start]
+            signs = np.add.reduceat(w[place[keep]], start, axis=0)
+            bearing = signs.max(axis=1) >= least
+            row, signs = row[bearing], signs[bearing]
+            if not len(row):
                 continue
-            area, row = score[bearing].argmax(axis=1), row_of[bearing]
+            area = (signs + prior[b.column("leaf").to_numpy()[row]]).argmax(axis=1)
             total = np.bincount(row, minlength=b.num_rows)
             key, count = np.unique(row * n_areas + area, return_counts=True)
             r = key // n_areas
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(r)), pa.array((key % n_areas).astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(total[r].astype(np.int64))], names=["doc_id", "area", "n_sentences", "n_bearing"])
 
-    return tokens.mapInArrow(assign, f"doc_id {dict(tokens.dtypes)['doc_id']}, area int, n_sentences long, n_bearing long")
+    return leaves.placed.mapInArrow(assign, f"doc_id {dict(leaves.placed.dtypes)['doc_id']}, area int, n_sentences long, n_bearing long")
 
 
 @dataclass(frozen=True)
@@ -340,7 +363,7 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: list[str], doc_id: str =
     if vectors is None or not vectors.limit(1).count():
         return Subjects(spark.createDataFrame([], schema), tokens, features, None, names)
     leaves = cluster(vectors, features, s)
-    found = sentence_shares(tokens, features, term_subjects(leaves, features), s)
+    found = sentence_shares(leaves, term_subjects(leaves, features), s)
     name = F.array(*(F.lit(a) for a in names))
     shares = found.select(F.col("doc_id").alias(doc_id), name[F.col("area")].alias("area"), "n_sentences", "n_bearing", (F.col("n_sentences") / F.col("n_bearing")).alias("share"))
     return Subjects(shares, tokens, features, leaves, names)
