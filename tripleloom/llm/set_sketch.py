@@ -30,7 +30,7 @@ class Scale:
     m: int = 512
     b: float = 1.14
     a: float = 20.0
-    sparse: int = 16
+    sparse: int = 32
 
     @property
     def rsd(self) -> float:
