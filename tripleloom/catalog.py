@@ -71,6 +71,17 @@ def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.drop("filled")
 
 
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed cells of the wide table: numbers, truth values, days and seconds as numbers, the others as texts."""
+    wide, names = wide_table(read(spark, sf_dir, "triples"), read(spark, sf_dir, "dict"), read(spark, sf_dir, "wide_attrs"))
+    cells = []
+    for a in names:
+        c = F.col(f"`{a.column}`")
+        number = {"string": F.lit(None), "iri": F.lit(None), "date": F.unix_date(c), "datetime": F.unix_micros(c) / 1e6}.get(a.col_type, c).cast("double")
+        cells.append(F.struct(F.lit(a.name).alias("attr"), number.alias("number"), (c if a.col_type in ("string", "iri") else F.lit(None)).cast("string").alias("text")))
+    return wide.select("s", F.inline(F.array(*cells))).where("number IS NOT NULL OR text IS NOT NULL")
+
+
 def _sql_pattern(name: str) -> str:
     """The lexical pattern without look-ahead, for SQL."""
     return LEXICAL[name].replace(r"(?=-?(?:[1-9][0-9]{3,}|0[0-9]{3})-)", "").replace(r"\z", "$")
@@ -82,6 +93,10 @@ def _case(lex: str) -> str:
 
 
 _LEX = "trim(d.lex, E' \\t\\n\\r')"
+_FITTING = f"FROM triples t JOIN wide_attrs w ON t.p = w.p JOIN dict d ON t.o = d.id WHERE t.s IS NOT NULL AND {_case(_LEX)}"
+_NUMBER = """CASE col_type WHEN 'integer' THEN CAST(TRY_CAST(x AS DECIMAL(38, 0)) AS DOUBLE) WHEN 'decimal' THEN CAST(TRY_CAST(x AS DECIMAL(38, 18)) AS DOUBLE) WHEN 'double' THEN TRY_CAST(x AS DOUBLE)
+ WHEN 'boolean' THEN CASE WHEN x IN ('true', '1') THEN 1 ELSE 0 END WHEN 'date' THEN CAST(CAST(x[1:10] AS DATE) - DATE '1970-01-01' AS DOUBLE)
+ WHEN 'datetime' THEN epoch_us(CAST(CASE WHEN regexp_matches(x, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN replace(x, 'T24:', 'T00:') ELSE replace(x, 'T24:', 'T00:') || 'Z' END AS TIMESTAMPTZ)) / 1e6 + CASE WHEN x LIKE '%T24:%' THEN 86400 ELSE 0 END END"""
 _LINES = "SELECT file_id, generate_subscripts(string_split(body, chr(10)), 1) AS line_no, trim(unnest(string_split(body, chr(10))), E' \\t\\r\\n') AS record FROM nt_files"
 _PLACES = f"SELECT record, min({{'f': file_id, 'l': line_no}}) AS m FROM ({_LINES}) WHERE record <> '' AND record NOT LIKE '#%' GROUP BY record"
 _BMP = r"(?:[0-9A-Ca-cEFef][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"
@@ -113,7 +128,8 @@ LEFT JOIN (SELECT {r} AS k, o, w FROM (SELECT {r}, o, count(*) AS w, row_number(
     ),
     "p4_found": f"SELECT m.f AS file_id, CAST(m.l AS INTEGER) AS line_no FROM ({_PLACES})",
     "p4_records": f"SELECT m.f AS file_id, CAST(m.l AS INTEGER) AS line_no, record FROM ({_PLACES})",
-    "p5_found": f"SELECT DISTINCT t.s, w.attr FROM triples t JOIN wide_attrs w ON t.p = w.p JOIN dict d ON t.o = d.id WHERE t.s IS NOT NULL AND {_case(_LEX)}",
+    "p5_found": f"SELECT DISTINCT t.s, w.attr {_FITTING}",
+    "p5_cells": f"SELECT s, attr, {_NUMBER} AS number, CASE WHEN col_type IN ('string', 'iri') THEN x END AS text FROM (SELECT t.s, w.attr, w.col_type, min({_LEX}) AS x {_FITTING} GROUP BY ALL) WHERE number IS NOT NULL OR text IS NOT NULL",
 }
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_failures, p1_failed_lines, p1_kinds, p1_triples, p2_found, p2_profile, p4_found, p4_records, p5_found, p5_wide)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_failures, p1_failed_lines, p1_kinds, p1_triples, p2_found, p2_profile, p4_found, p4_records, p5_found, p5_wide, p5_cells)}

@@ -88,6 +88,11 @@ def fitting_cells(triples: DataFrame, terms: DataFrame, by_p: DataFrame) -> Data
     return facts.join(words, "o").where(fits).groupBy("s", "slot", "col_type").agg(F.min("lex").alias("lex"))
 
 
+def range_bits(n_subjects: int, n_attributes: int) -> int:
+    """Ranges are of 2 to this power subjects."""
+    return min(MAX_RANGE_BITS, (MAX_CELLS // n_attributes).bit_length() - 1, max(1, n_subjects // LEAST_RANGES).bit_length())
+
+
 def wide_table(triples: DataFrame, terms: DataFrame, attrs: DataFrame) -> tuple[DataFrame, list[Attribute]]:
     """One row for each non-null subject of ``triples``: s, a typed column for each attribute, and ``filled``, the
     names of the attributes that have a fitting object.
@@ -101,7 +106,7 @@ def wide_table(triples: DataFrame, terms: DataFrame, attrs: DataFrame) -> tuple[
     subjects = ordinals(triples, "s")
     if not names:
         return subjects.select("s", F.array().cast("array<string>").alias("filled")), names
-    bits = min(MAX_RANGE_BITS, (MAX_CELLS // len(names)).bit_length() - 1, max(1, subjects.count() // LEAST_RANGES).bit_length())
+    bits = range_bits(subjects.count(), len(names))
     rng, pos = F.shiftright("ordinal", bits).alias("rng"), F.col("ordinal").bitwiseAND((1 << bits) - 1).cast("int").alias("pos")
     types = sorted({a.col_type for a in names})
     cells = fitting_cells(triples, terms, slots(attrs, names)).join(subjects, "s")

@@ -16,7 +16,7 @@ from tripleloom.runtime import fresh_path, read, stored
 from tripleloom.sources.files import export_graph, load, read_encoded, write_ntriples, write_result
 from tripleloom.sources.tables import BASE, VOCABULARY, tables_statements
 from tripleloom.sources.turtle import read_turtle
-from tripleloom.sparql_catalog import _T, PREFIXES, V, _lex, _p, _pattern, graph, on_graph, saved
+from tripleloom.sparql_catalog import _T, PREFIXES, V, _lex, _p, _pattern, graph, on_graph, prepared, saved
 from tripleloom.sparql_catalog import QUERIES as _GRAPH_QUERIES
 from tripleloom.sparql_catalog import SQL as _GRAPH_SQL
 from tripleloom.sparql_catalog import on_tables
@@ -266,6 +266,14 @@ def stats_join_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "what string, n long")
 
 
+@query(_T + "SELECT (SELECT count(*) FROM t) AS n_facts, (SELECT count(*) FROM d) AS n_terms, (SELECT count(DISTINCT p) FROM t) AS n_predicates")
+def store_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph tables made a store: facts once, two layouts, dictionary, statistics and summary, all written and opened again."""
+    store = prepared(graph(spark, sf_dir)).save(fresh_path(spark, "store"))
+    facts, terms = store.triples.agg(F.count(F.lit(1)).alias("n_facts")), store.terms.agg(F.count(F.lit(1)).alias("n_terms"))
+    return facts.crossJoin(terms).crossJoin(store.predicate_stats.agg(F.count(F.lit(1)).alias("n_predicates")))
+
+
 @query("SELECT n_name AS n FROM nation")
 def ntriples_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder that was written as N-Triples is loaded like a file."""

@@ -33,15 +33,20 @@ def graph(spark: SparkSession, sf_dir: str) -> TripleStore:
 _stores: dict[tuple, TripleStore] = {}
 
 
+def prepared(store: TripleStore) -> TripleStore:
+    """A store with its facts written once, statistics and summary; ready to be saved."""
+    frozen = TripleStore(stored(store.triples, "facts"), store.terms if not store.hashed else stored(store.terms, "terms"), store.identity, store.hashed)
+    frozen.summary = summary_edges(frozen)
+    return analyse(frozen)
+
+
 def saved(spark: SparkSession, sf_dir: str, *tables: str) -> TripleStore:
     """The store of the graph tables, or of relational ones, with statistics and summary: loaded once in a session, as a store
     is that is queried many times. It is made anew where its folder isn't there any more."""
     key = (spark.sparkContext.applicationId, sf_dir, *tables)
     if key not in _stores or not exists(spark, f"{_stores[key].path}/about/_SUCCESS"):
         store = TripleStore.from_terms(tables_statements(spark, sf_dir, *tables)) if tables else graph(spark, sf_dir)
-        frozen = TripleStore(stored(store.triples, "facts"), stored(store.terms, "terms") if tables else store.terms, store.identity, store.hashed)
-        frozen.summary = summary_edges(frozen)
-        _stores[key] = analyse(frozen).save(fresh_path(spark, "store", keep=True))
+        _stores[key] = prepared(store).save(fresh_path(spark, "store", keep=True))
     return _stores[key]
 
 
