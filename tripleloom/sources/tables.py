@@ -39,7 +39,7 @@ MAPPINGS = {
     "orders": Mapping("Order", "order", ("o_orderkey",), {"customer": ("o_custkey", "customer"), "status": ("o_orderstatus", None), "totalprice": ("o_totalprice", None), "orderdate": ("o_orderdate", None), "priority": ("o_orderpriority", None)}),
     "lineitem": Mapping("Lineitem", "lineitem", (), {"order": ("l_orderkey", "order"), "part": ("l_partkey", "part"), "supplier": ("l_suppkey", "supplier"), **_literals("l", "linenumber", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate")}),
     "events": Mapping("Event", "event", ("event_id",), {"ts": ("ts", None), "user": ("user_id", "user"), "eventtype": ("event_type", None), "value": ("value", None), "props": ("props", None)}),
-    "documents": Mapping("Document", "document", ("doc_id",), {"source": ("source", None), "nchars": ("n_chars", None), "paper": ("paper_no", None), "shelf": ("shelf_code", None)}, {"source": "lang"}),
+    "documents": Mapping("Document", "document", ("doc_id",), {"text": ("text", None), "source": ("source", None), "nchars": ("n_chars", None), "paper": ("paper_no", None), "rev": ("rev", None), "shelf": ("shelf_code", None), "submitted": ("submitted_at", None), "fetched": ("fetched_at", None)}, {"text": "lang"}),
 }
 
 _DATATYPES = {"int": "integer", "bigint": "integer", "smallint": "integer", "tinyint": "integer", "double": "double", "float": "double", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date"}
