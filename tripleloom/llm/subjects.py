@@ -14,7 +14,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,10 +257,10 @@ def cluster(vectors: DataFrame, features: Features, s: Settings) -> Leaves:
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 
-    # The vectors alone are kept for the passes of the fit; the rest of the rows is read once, to be placed.
-    points = vectors.select(array_to_vector("vector").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    # The fit keeps the vectors in memory for its passes by itself, and in a better form than a persisted table has; the rest
+    # of the rows is read once, to be placed.
+    points = vectors.select(array_to_vector("vector").alias("features"))
     model = BisectingKMeans(k=s.leaves, maxIter=s.iterations, seed=s.seed, minDivisibleClusterSize=4.0).fit(points)
-    points.unpersist()
     rows = vectors.select("doc_id", array_to_vector("vector").alias("features"), "places", "sentences")
     placed = stored(model.transform(rows).select("doc_id", F.col("prediction").alias("leaf"), "places", "sentences"), "placed")
     counted = placed.select("leaf", F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct("places"))).alias("f")).groupBy("leaf", "f").count().toArrow()
