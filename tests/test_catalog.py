@@ -48,7 +48,7 @@ def test_entry(spark):
 
 def test_table_function_meets_parts_of_every_size(spark):
     sizes = spark.read.parquet(f"{SF}/part.parquet").where("p_size >= 1")
-    assert entry.queries()["table_function_all"](spark, SF).count() == sizes.selectExpr("sum(p_size)").first()[0]
+    assert entry.queries()["table_function"](spark, SF).count() == sizes.selectExpr("sum(p_size)").first()[0]
 
 
 def test_graph_facts_through_ntriples_have_tags_types_and_blank_nodes(spark):

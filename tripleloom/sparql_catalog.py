@@ -249,27 +249,17 @@ def udf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query(PREFIXES + "SELECT ?p WHERE { ?p e:size ?s . FILTER <http://ex.org/f#near>(?s, 20) }")
 
 
-def _upto(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers up to each part's size."""
     engine = Engine(saved(spark, sf_dir, "part"))
     engine.register_table_function("upto", lambda n: F.when(n >= 1, F.sequence(F.lit(1).cast("long"), n.cast("long"))), ("number",), ("number",))
-    df = engine.query(PREFIXES + f'SELECT ?p ?i WHERE {{ ?p e:size ?s . {condition} FILTER <urn:x/tableFunction>("upto", 1, ?s, ?i) }}')
+    df = engine.query(PREFIXES + 'SELECT ?p ?i WHERE { ?p e:size ?s . FILTER <urn:x/tableFunction>("upto", 1, ?s, ?i) }')
     return df.withColumn("i", F.col("i").cast("long"))
 
 
-def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _upto(spark, sf_dir, "FILTER (?s < 6)")
-
-
-def table_function_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table function over every part."""
-    return _upto(spark, sf_dir, "")
-
-
 QUERIES["udf_filter"] = udf_filter
 SQL["udf_filter"] = "SELECT 'http://ex.org/part/' || p_partkey AS p FROM part WHERE abs(p_size - 20) <= 2"
 QUERIES["table_function"] = table_function
-SQL["table_function"] = "SELECT 'http://ex.org/part/' || p_partkey AS p, unnest(generate_series(1, CAST(p_size AS BIGINT))) AS i FROM part WHERE p_size < 6"
-QUERIES["table_function_all"] = table_function_all
-SQL["table_function_all"] = "SELECT 'http://ex.org/part/' || p_partkey AS p, unnest(generate_series(1, CAST(p_size AS BIGINT))) AS i FROM part"
+SQL["table_function"] = "SELECT 'http://ex.org/part/' || p_partkey AS p, unnest(generate_series(1, CAST(p_size AS BIGINT))) AS i FROM part"
 QUERIES["ntriples_graph_roundtrip"] = ntriples_graph_roundtrip
 SQL["ntriples_graph_roundtrip"] = _T + "SELECT a.kind AS kind, a.lex AS s, b.lex AS p, c.kind AS o_kind, c.lex AS o, c.lang AS lang, c.dt AS dt FROM t JOIN d a ON a.id = t.s JOIN d b ON b.id = t.p JOIN d c ON c.id = t.o"
