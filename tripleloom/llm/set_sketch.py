@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.runtime import broadcastable, stored
+from tripleloom.runtime import stored
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -220,6 +220,22 @@ def _columns(n: np.ndarray, sparse: np.ndarray, dense: np.ndarray, regs: np.ndar
     return [_binary(np.where(dense, 0, n * 8), sparse, ~dense), _binary(np.where(dense, m, 0), regs, dense), pa.array(n, mask=dense, type=pa.int64())]
 
 
+#: Leads that the driver counts at once (days are few); of more, only the number of parts of the hot ones is kept, as a table.
+MAX_LEADS = 10_000
+
+
+def _hot_leads(counted: DataFrame, task_rows: int, task_share: float) -> DataFrame:
+    """hot (a lead), salts: the leads that are split, and the number of their parts."""
+    few = counted.limit(MAX_LEADS + 1).collect()
+    if len(few) <= MAX_LEADS:
+        limit = max(1, min(task_rows, math.ceil(task_share * sum(r["c"] for r in few))))
+        rows = [(r["lead"], -(-r["c"] // limit)) for r in few if r["c"] > limit]
+        return F.broadcast(counted.sparkSession.createDataFrame(rows, f"hot {dict(counted.dtypes)['lead']}, salts long"))
+    counted = stored(counted, "leads")
+    limit = max(1, min(task_rows, math.ceil(task_share * counted.agg(F.sum("c")).first()[0])))
+    return counted.where(F.col("c") > limit).select(F.col("lead").alias("hot"), F.ceil(F.col("c") / limit).alias("salts"))
+
+
 def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str], scale: Scale = Scale(), combos: Sequence[tuple[str, ...]] | None = None, task_rows: int = 2_000_000, task_share: float = 1 / 64) -> DataFrame:
     """A mergeable partial result for each value of ``lead`` (as a day) with each combination of values of ``dims``.
 
@@ -232,11 +248,7 @@ def distinct_sketches(df: DataFrame, element: str, lead: str, dims: Sequence[str
     combos = levels(dims) if combos is None else list(combos)
     names = [f"d{i}" for i in range(len(dims))]
     rows = df.select(F.col(f"`{lead}`").alias("lead"), *(F.col(f"`{d}`").alias(x) for x, d in zip(names, dims)), F.xxhash64(F.col(f"`{element}`")).alias("h"), F.col(f"`{element}`").isNull().alias("none")).where("NOT none").drop("none")
-    counted = stored(rows.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), "leads")
-    limit = max(1, min(task_rows, math.ceil(task_share * (counted.agg(F.sum("c")).first()[0] or 0))))
-    hot = counted.where(F.col("c") > limit).select(F.col("lead").alias("hot"), F.ceil(F.col("c") / limit).alias("salts"))
-    if broadcastable(hot, 100_000):
-        hot = F.broadcast(hot)
+    hot = _hot_leads(rows.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), task_rows, task_share)
     kinds = dict(rows.dtypes)
     masks = [[dims.index(d) for d in c] for c in combos]
     labels = ["+".join(c) for c in combos]
