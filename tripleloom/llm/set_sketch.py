@@ -173,6 +173,18 @@ def _binary(lengths: np.ndarray, data: np.ndarray, present: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [pa.py_buffer(bits.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
 
 
+def _content(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the values of a binary column that aren't null, and their bytes end to end."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    values = values.drop_null()
+    _, offsets, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(len(values), np.int64), np.zeros(0, np.uint8)
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.diff(at), np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+
+
 def fold(group: np.ndarray, hashes: np.ndarray, n_groups: int, scale: Scale, registers: np.ndarray | None = None, dense: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sketches of (group, element) pairs, added to the registers of the groups that are dense already: the number of distinct
     elements, the hashes of sparse groups in group order, which groups are dense, and the registers of these in group order."""
@@ -296,14 +308,13 @@ def merged(parts: DataFrame, keys: Sequence[str], scale: Scale = Scale(), rows:
         known[group[full]] = True
         regs = None
         if len(full):
-            rows = np.frombuffer(b"".join(part["registers"].drop_null().to_pylist()), np.uint8).reshape(-1, scale.m)
+            rows = _content(part["registers"])[1].reshape(-1, scale.m)
             order = np.argsort(group[full], kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(group[full][order]) > 0])
             regs = np.maximum.reduceat(rows[order], starts, axis=0)
         own = np.flatnonzero(part["hashes"].is_valid().to_numpy())
-        lists = part["hashes"].drop_null().to_pylist()
-        h = np.frombuffer(b"".join(lists), np.uint64)
-        g = np.repeat(group[own], [len(x) // 8 for x in lists]) if len(own) else np.zeros(0, np.int64)
+        lengths, data = _content(part["hashes"])
+        h, g = np.frombuffer(data.tobytes(), np.uint64), np.repeat(group[own], lengths // 8)
         n, sparse, dense, regs = fold(g, h, len(first), scale, regs, known)
         cols = [part[k].take(pa.array(first)) for k in keys]
         return pa.table([*cols, *_columns(n, sparse, dense, regs, scale.m)], names=[*keys, "hashes", "registers", "n"])
@@ -344,7 +355,7 @@ def estimated(sketches: DataFrame, scale: Scale = Scale(), z: float = 1.96) -> D
             n = b.column("n").to_numpy(zero_copy_only=False).astype(float)
             dense = np.isnan(n)
             if dense.any():
-                regs = np.frombuffer(b"".join(b.column("registers").drop_null().to_pylist()), np.uint8).reshape(-1, scale.m)
+                regs = _content(b.column("registers"))[1].reshape(-1, scale.m)
                 n[dense] = cardinality(regs, scale)
             wide = np.where(dense, z * rsd, 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n), pa.array(n / (1 + wide)), pa.array(n / np.maximum(1 - wide, 1e-9))], names=[*kept, "n_distinct", "low", "high"])
