@@ -50,19 +50,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Elements that are drawn for at once: with up to 32 draws each, some MB.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 
 
 def draws(hashes: np.ndarray, limit: np.ndarray, scale: Scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The draws of each element in ascending order up to its limit: places of the elements, registers, values.
 
     An element's draws are a Poisson process of rate a m whose points fall on registers at random, so that the first point
-    of each register is exponential of rate a, independently of the others. All follow from the hash alone."""
-    if len(hashes) > CHUNK:
-        for i in range(0, len(hashes), CHUNK):
-            for at, register, x in draws(hashes[i : i + CHUNK], limit[i : i + CHUNK], scale):
-                yield at + i, register, x
-        return
+    of each register is exponential of rate a, independently of the others. All follow from the hash alone: 44 bits of a mixed
+    word give the distance to the point before, 20 others the register."""
     at, h, x = np.arange(len(hashes)), hashes.astype(np.uint64), np.zeros(len(hashes))
     done, size = 0, 1
     with np.errstate(over="ignore"):
@@ -70,9 +66,9 @@ def draws(hashes: np.ndarray, limit: np.ndarray, scale: Scale) -> Iterator[tuple
             # Blocks of 1, 1, 2, 4, … 32 draws, the same for every element, so that its draws are the same wherever it is.
             steps = np.arange(done + 1, done + size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             word = _mix(h[:, None] + steps)
-            values = x[:, None] + np.cumsum(np.log1p(((word >> np.uint64(11)) + 0.5) / -float(1 << 53)) / -(scale.a * scale.m), axis=1)
+            values = x[:, None] + np.cumsum(np.log(((word >> np.uint64(20)) + 0.5) / float(1 << 44)) / -(scale.a * scale.m), axis=1)
             row, col = np.nonzero(values <= limit[:, None])
-            register = ((_mix(word[row, col] ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * np.uint64(scale.m)) >> np.uint64(32)
+            register = ((word[row, col] & np.uint64(0xFFFFF)) * np.uint64(scale.m)) >> np.uint64(20)
             yield at[row], register.astype(np.int64), values[row, col]
             x = values[:, -1]
             keep = np.flatnonzero(x <= limit)
@@ -81,24 +77,29 @@ def draws(hashes: np.ndarray, limit: np.ndarray, scale: Scale) -> Iterator[tuple
 
 
 def fill(registers: np.ndarray, slot: np.ndarray, hashes: np.ndarray, scale: Scale) -> None:
-    """Puts elements into the rows ``slot`` of the registers.
+    """Puts elements into the rows ``slot`` (in ascending order) of the registers.
 
     Draws above a limit are left out at first: what could still raise a register lies below b^-(smallest register), and a row
     of n new elements has almost surely a draw below (ln m + 4) / (a n) in every register. Rows where that turns out to be
     wrong are drawn again with twice the limit, so the result is that of all draws; the work for a row is about
     m (ln m + 4) draws and one for each element, not m for each."""
-    flat = registers.reshape(-1)
     n = np.bincount(slot, minlength=len(registers))
     ceiling = float(scale.b)  # draws above are worth 0
     limit = np.minimum(ceiling, (np.log(scale.m) + 4) / (scale.a * np.maximum(n, 1)))
     limit = np.minimum(limit, scale.b ** -registers.min(axis=1).astype(float)) if len(registers) else limit
     left = np.arange(len(slot))
     while len(left):
-        s = slot[left]
-        for at, register, x in draws(hashes[left], limit[s], scale):
-            np.maximum.at(flat, s[at] * scale.m + register, scale.level(x))
+        for i in range(0, len(left), CHUNK):
+            some = left[i : i + CHUNK]
+            s = slot[some]
+            low, high = int(s[0]), int(s[-1]) + 1
+            # The smallest draw of each register decides, so that levels are taken once for each.
+            least = np.full((high - low) * scale.m, np.inf)
+            for at, register, x in draws(hashes[some], limit[s], scale):
+                np.minimum.at(least, (s[at] - low) * scale.m + register, x)
+            np.maximum(registers[low:high], scale.level(least).reshape(-1, scale.m), out=registers[low:high])
         unsure = (limit < ceiling) & (registers.min(axis=1) < scale.level(limit))
-        left = left[unsure[s]]
+        left = left[unsure[slot[left]]]
         limit = np.where(unsure, np.minimum(ceiling, 2 * limit), limit)
 
 
