@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripleloom.functions.terms import Value
-from tripleloom.functions.xsd import XSD, decimal_key
+from tripleloom.functions.xsd import XSD, bound, decimal_key
 from tripleloom.plans.algebra import Call, Term, Var
 
 RDF_LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
@@ -29,6 +29,15 @@ def constant(t: Term) -> Value:
     return Value.of_term(F.lit(t.kind), F.lit(t.lex), F.lit(t.lang).cast("string"), F.lit(t.dt).cast("string"))
 
 
+def _summand(x: Column) -> Column:
+    return x.try_cast("decimal(37,18)")
+
+
+def _factor(x: Column) -> Column:
+    """Null where it would round."""
+    return bound(x, lambda v: F.when(v.try_cast("decimal(18,9)") == v, v.try_cast("decimal(18,9)")))
+
+
 class Expressions:
     """Translates expressions. values: the columns of each variable in scope; others are unbound."""
 
@@ -92,23 +101,22 @@ class Expressions:
     def _at_least(self, a, b) -> Value:
         return self._at_most(b, a)
 
-    def _arithmetic(self, a, b, op, kind: str) -> Value:
+    def _arithmetic(self, a, b, op, exact: Callable[[Column], Column]) -> Value:
         """Exact where both operands fit the type in which the result doesn't round, else by doubles."""
         x, y = self.value(a), self.value(b)
-        fits = [F.when(v.exact.try_cast(kind) == v.exact, v.exact.try_cast(kind)) for v in (x, y)]
-        return Value.of_number(op(x.number, y.number), op(*fits))
+        return Value.of_number(op(x.number, y.number), op(exact(x.exact), exact(y.exact)))
 
     def _plus(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_add, "decimal(37,18)")
+        return self._arithmetic(a, b, F.try_add, _summand)
 
     def _minus(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_subtract, "decimal(37,18)")
+        return self._arithmetic(a, b, F.try_subtract, _summand)
 
     def _times(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_multiply, "decimal(18,9)")
+        return self._arithmetic(a, b, F.try_multiply, _factor)
 
     def _divided(self, a, b) -> Value:
-        return self._arithmetic(a, b, F.try_divide, "decimal(18,9)")
+        return self._arithmetic(a, b, F.try_divide, _factor)
 
     def _positive(self, a) -> Value:
         v = self.value(a)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,14 +43,23 @@ def moment(lex: Column) -> Column:
     return F.when(lex.contains("T24:00:00"), stamp + F.expr("INTERVAL 1 DAY")).otherwise(stamp)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: expressions that mention it several times don't grow when they are nested."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decimal_key(lex: Column) -> Column:
     """A text for each conforming integer or decimal that compares as its value does, however many digits it has: sign, number of
     whole digits, digits; for negative numbers with each digit replaced by what it lacks to 9 and a closing sign above all."""
-    body = F.regexp_replace(lex, "^[+-]", "")
-    whole = F.regexp_replace(F.substring_index(body, ".", 1), "^0+", "")
-    rest = F.when(body.contains("."), F.regexp_replace(F.substring_index(body, ".", -1), "0+$", "")).otherwise("")
-    size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, F.lit("."), rest)
-    return F.when((whole == "") & (rest == ""), "1").when(lex.startswith("-"), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("2"), size))
+
+    def key(x: Column) -> Column:
+        body = F.regexp_replace(x, "^[+-]", "")
+        whole = F.regexp_replace(F.substring_index(body, ".", 1), "^0+", "")
+        rest = F.when(body.contains("."), F.regexp_replace(F.substring_index(body, ".", -1), "0+$", "")).otherwise("")
+        size = F.concat(F.lpad(F.length(whole).cast("string"), 10, "0"), whole, F.lit("."), rest)
+        return F.when((whole == "") & (rest == ""), "1").when(x.startswith("-"), F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("2"), size))
+
+    return bound(lex, key)
 
 
 #: Texts of decimals that DECIMAL(38, 18) holds exactly.
