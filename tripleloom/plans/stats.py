@@ -129,13 +129,19 @@ def estimates(store: TripleStore, patterns: list[Pattern]) -> Estimates:
     if store.predicate_stats is None or store.join_stats is None:
         weight = {(False, False, False): 1e9, (False, True, False): 1e6, (True, False, False): 1e3, (False, False, True): 1e4, (True, True, False): 1e1, (False, True, True): 1e3, (True, False, True): 1e1, (True, True, True): 1.0}
         return Estimates({p: weight[tuple(isinstance(t, Term) for t in (p.s, p.p, p.o))] for p in patterns})
-    if len(patterns) < 2:
-        return Estimates({p: 1.0 for p in patterns})  # nothing to order
+    single = len(patterns) < 2
+    if single and store.path is None:
+        return Estimates({p: 1.0 for p in patterns})  # nothing to order, and the statistics aren't written yet
     ids = _ids(store, sorted({p.p for p in patterns if isinstance(p.p, Term)}, key=str))
     wanted = list(ids.values())
     totals = {r["p"]: (float(r["n"]), float(r["n_s"]), float(r["n_o"])) for r in _rows(store, "predicates", store.predicate_stats, MAX_PREDICATES, F.col("p").isin(wanted))}
-    pairs = {(r["p1"], r["p2"]): (float(r["path"]), float(r["star1"]), float(r["star2"])) for r in _rows(store, "pairs", store.join_stats, MAX_PAIRS, F.col("p1").isin(wanted) & F.col("p2").isin(wanted))}
+    found = [] if single else _rows(store, "pairs", store.join_stats, MAX_PAIRS, F.col("p1").isin(wanted) & F.col("p2").isin(wanted))
+    pairs = {(r["p1"], r["p2"]): (float(r["path"]), float(r["star1"]), float(r["star2"])) for r in found}
     everything = _kept(store, "facts", lambda: float(store.predicate_stats.agg(F.sum("n")).first()[0] or 1))
-    counted = exact_counts(store, patterns)
-    cards = {p: counted[p] if p in counted else totals.get(ids.get(p.p), (0.0,))[0] if isinstance(p.p, Term) else everything for p in patterns}
+    # A single pattern needs no order, so nothing is counted for it; an even spread of its predicate's facts will do.
+    counted = {} if single else exact_counts(store, patterns)
+    cards = {}
+    for p in patterns:
+        n, n_s, n_o = totals.get(ids.get(p.p), (0.0, 1.0, 1.0)) if isinstance(p.p, Term) else (everything, 1.0, 1.0)
+        cards[p] = counted[p] if p in counted else n / (n_s if isinstance(p.s, Term) else 1) / (n_o if isinstance(p.o, Term) else 1)
     return Estimates(cards, pairs, ids, totals)
