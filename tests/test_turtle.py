@@ -54,3 +54,50 @@ def test_reader(spark, tmp_path):
     good = [r for r in rows if r["corrupt"] is None]
     assert len(rows) == 3 and len(good) == 2
     assert len({r["o"]["lex"] for r in good}) == 2  # labels are scoped to a file
+
+
+def test_lines_are_taken_as_needed(monkeypatch):
+    from tripleloom.sources import turtle
+
+    monkeypatch.setattr(turtle, "CHUNK", 1000)
+    taken, held = 0, 0
+
+    def lines():
+        nonlocal taken
+        yield "@prefix : <http://e/> .\n"
+        for taken in range(1, 5001):
+            yield f':s :p """a\n' if taken % 2 else f'{taken}""" . # end\n'
+
+    parser = Turtle("", more=lines())
+    for n, (_, _, o) in enumerate(parser, 1):
+        assert o == L(f"a\n{2 * n}") and taken <= 2 * n + 200
+        held = max(held, len(parser.text))
+    assert n == 2500 and held < 5000
+
+
+def test_files_in_many_splits(spark, tmp_path):
+    text = "@prefix e: <http://e/> .\r\n" + "".join(
+        f'@base <http://b{i}/> .\n_:x{i} e:p """one "{i}"\n\n. two""" , "{"é" * (i % 50)}" ;\n  e:q ( <r> [ e:r {i} ] ) .\ne:bad e:p "open\n' + ('<a> <b> """c\\\n' if i == 350 else f"<s> nope:x {i} .\n" if i % 7 == 0 else "") for i in range(400)
+    )
+    (tmp_path / "a.ttl").write_text(text, newline="")
+    (tmp_path / "b.ttl").write_text("@prefix e: <http://c/> . e:a e:b e:c .", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = read_turtle(spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    own = [r for r in rows if r["file_name"].endswith("/a.ttl")]
+    scope = next(r["s"]["lex"] for r in own if r["s"] and r["s"]["kind"] == "B").split("_")[0] + "_"
+    want = list(Turtle(text, scope))
+    assert [tuple(r["o"]) for r in rows if r not in own] == [I("http://c/c")]
+    assert sorted(r["corrupt"] for r in own if r["corrupt"]) == sorted(x for x in want if isinstance(x, str))
+    assert sorted(tuple(map(tuple, r[:3])) for r in own if not r["corrupt"]) == sorted(x for x in want if not isinstance(x, str))
+
+
+def test_registered_query_parses_files_once(spark):
+    from tripleloom.source_catalog import QUERIES
+
+    df = QUERIES["turtle_terms"](spark, "/root/testdata/sf0.001")
+    assert "MapIn" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()

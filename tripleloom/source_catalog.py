@@ -107,10 +107,11 @@ def explain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turtle(spark: SparkSession, rows: DataFrame, head: str) -> TripleStore:
-    """Writes statements (column value) as Turtle files, each with the head, and reads them."""
+    """Writes statements (column value) as Turtle files, each with the head, and reads them once. A file is parsed by one task, so
+    there are several of them however few splits the rows are in."""
     path = fresh_path(spark, "ttl")
-    rows.select(F.concat(F.lit(head + "\n"), "value").alias("value")).write.text(path)
-    return TripleStore.from_terms(read_turtle(spark, path, "").where("corrupt IS NULL"))
+    rows.select(F.concat(F.lit(head + "\n"), "value").alias("value")).write.option("maxRecordsPerFile", 10_000).text(path)
+    return TripleStore.from_terms(stored(read_turtle(spark, path, "").where("corrupt IS NULL").select("s", "p", "o"), "statements")).frozen()
 
 
 @query("SELECT 'http://ex.org/customer/' || c_custkey AS c, c_name || chr(9) || 'é \"' || c_mktsegment || '\"' || chr(10) || '# none' AS n, 'x\\y' AS e, c_custkey AS k, TRUE AS b FROM customer")
